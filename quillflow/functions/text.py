@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: All blanks of Unicode, with the ASCII separators that other regex engines leave out.
 BLANKS = r"(?U)[\s\x1c-\x1f]+"
@@ -21,7 +22,7 @@ _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """NFC; null stays null."""
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
