@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillflow.llm import q_splits
+from quillflow.llm import q_charforms, q_splits
 
-MODULES = [q_splits]
+MODULES = [q_splits, q_charforms]
 
 
 def queries() -> dict:
