@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillflow.llm import q_charforms, q_splits
+from quillflow.llm import q_charforms, q_repetition, q_splits
 
-MODULES = [q_splits, q_charforms]
+MODULES = [q_splits, q_charforms, q_repetition]
 
 
 def queries() -> dict:
