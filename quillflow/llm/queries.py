@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillflow.llm import q_answers, q_charforms, q_leaks, q_overlaps, q_repetition, q_splits
+from quillflow.llm import q_answers, q_charforms, q_leaks, q_mixing, q_overlaps, q_repetition, q_residue, q_splits
 
-MODULES = [q_splits, q_charforms, q_repetition, q_answers, q_overlaps, q_leaks]
+MODULES = [q_splits, q_charforms, q_repetition, q_answers, q_overlaps, q_leaks, q_mixing, q_residue]
 
 
 def queries() -> dict:
