@@ -20,11 +20,9 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillflow.session import Workspace
 
@@ -52,17 +50,10 @@ HOLES = re.compile(
     r"|(?<!#0 )\{[A-Za-z_가-힣][\w]*\}|\{\d\}|(?<![\w%])%[sd](?![\w%])|\[INSERT [^\[\]\n]{1,60}\]|\[[^\[\]\n]{1,40}(?:입력|기입|작성)[^\[\]\n]{0,12}\]|\(여기에 [^()\n]{1,40}(?:입력|기입|작성)[^()\n]{0,12}\)|<[^<>\n]{1,40} (?:입력|기입|작성)>"
 )
 _symbols = re.compile(r"[{}<>\[\]@%_#$(]")
+_digits = re.compile(r"\d+").sub
 _cut = re.compile(r"\n+|(?<=[.!?。！？])\s+")
 _tokens = re.compile(r"[^\W_]+")
-PASSAGES = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("at", T.IntegerType()),
-        T.StructField("trusted", T.BooleanType()),
-        T.StructField("hole", T.BooleanType()),
-        T.StructField("feats", T.ArrayType(T.IntegerType())),
-    ]
-)
+RECORDS = "doc_id long, passages array<struct<trusted: boolean, hole: boolean, positive: boolean, feats: array<int>>>"
 
 
 class _Buckets(dict):
@@ -77,33 +68,49 @@ class _Buckets(dict):
         return got
 
 
-def _passages(doc: int, text: str, buckets: _Buckets) -> list[tuple]:
+def _passages(text: str, buckets: _Buckets) -> Iterator[tuple[bool, bool, np.ndarray]]:
+    """(trusted, hole, features) of each passage with a word."""
     if not text.isascii() and not unicodedata.is_normalized("NFKC", text):
         text = unicodedata.normalize("NFKC", text)
     low = text.casefold()
     known = [t for t in TRUSTED if t in low]
     holes = bool(_symbols.search(text)) and bool(HOLES.search(text))
-    out = []
-    for at, p in enumerate(x for x in _cut.split(text) if x and not x.isspace()):
-        pl = p.casefold()
-        feats = [b for t in _tokens.findall(re.sub(r"\d+", "0", pl)) for b in buckets[t]]
+    for p in _cut.split(text):
+        feats = {b for t in _tokens.findall(_digits("0", p.casefold())) for b in buckets[t]}
         if feats:
-            out.append((doc, at, bool(known) and any(t in pl for t in known), holes and bool(HOLES.search(p)), np.unique(np.array(feats, dtype=np.int32))))
-    return out
+            yield bool(known) and any(t in p.casefold() for t in known), holes and bool(HOLES.search(p)), np.fromiter(feats, np.int32, len(feats))
+
+
+def _lists(values: pa.Array, counts: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), values)
 
 
-def passages(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The passages of each text with their features and labels."""
+def records(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Each text that has words, with its passages' features and labels in one array; no shuffle."""
     d = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter(F.col("text").isNotNull())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = _Buckets()
-        for pdf in batches:
-            for a in range(0, len(pdf), 1000):
-                part = pdf.iloc[a : a + 1000]
-                yield pd.DataFrame([r for i, t in zip(part["doc_id"], part["text"]) for r in _passages(i, t, buckets)], columns=PASSAGES.names)
-
-    return d.mapInPandas(run, PASSAGES)
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1000):
+                b = whole.slice(a, 1000)
+                ids, per, trusted, hole, feats = [], [], [], [], []
+                for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                    got = list(_passages(t, buckets))
+                    if got:
+                        ids.append(i)
+                        per.append(len(got))
+                        trusted += [x[0] for x in got]
+                        hole += [x[1] for x in got]
+                        feats += [x[2] for x in got]
+                if not ids:
+                    continue
+                f = _lists(pa.array(np.concatenate(feats), pa.int32()), [len(x) for x in feats])
+                both = pa.array([x or y for x, y in zip(trusted, hole)], pa.bool_())
+                st = pa.StructArray.from_arrays([pa.array(trusted, pa.bool_()), pa.array(hole, pa.bool_()), both, f], ["trusted", "hole", "positive", "feats"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(st, per)], ["doc_id", "passages"])
+
+    return d.mapInArrow(run, RECORDS)
 
 
 def _scores(odds: np.ndarray, feats: pa.ListArray) -> np.ndarray:
@@ -114,12 +121,12 @@ def _scores(odds: np.ndarray, feats: pa.ListArray) -> np.ndarray:
     return np.clip(np.where(n > 0, total, 0.0) / np.sqrt(np.maximum(n, 1)), -6, 6)
 
 
-def _learn(records: DataFrame, odds: np.ndarray | None) -> np.ndarray:
+def _learn(table: DataFrame, odds: np.ndarray | None) -> np.ndarray:
     """Log-odds of each bucket from the feature sums of all passages (one pass).
 
-    ``records``: doc_id and its passages in one array, so that a record's score is at hand where its passages are.
+    ``table``: doc_id and its passages in one array, so that a record's score is at hand where its passages are.
     """
-    old = records.sparkSession.sparkContext.broadcast(odds)
+    old = table.sparkSession.sparkContext.broadcast(odds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos, neg = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -139,7 +146,7 @@ def _learn(records: DataFrame, odds: np.ndarray | None) -> np.ndarray:
         some = np.flatnonzero((pos > 0) | (neg > 0))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(pos[some]), pa.array(neg[some])], ["bucket", "pos", "neg"])
 
-    got = records.select("passages").mapInArrow(run, "bucket int, pos double, neg double").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    got = table.select("passages").mapInArrow(run, "bucket int, pos double, neg double").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     rows = got.toPandas()  # at most BUCKETS rows
     pos, neg = np.zeros(BUCKETS), np.zeros(BUCKETS)
     pos[rows["bucket"]], neg[rows["bucket"]] = rows["pos"], rows["neg"]
@@ -152,10 +159,7 @@ def _learn(records: DataFrame, odds: np.ndarray | None) -> np.ndarray:
 def residue(documents: DataFrame, doc_id: str, text: str, rounds: int = ROUNDS, ws: Workspace | None = None) -> DataFrame:
     """(doc_id, score, n_passages, n_trusted, holes, excluded) of every text with a passage."""
     ws = ws or Workspace(documents.sparkSession, "residue")
-    p = passages(documents, doc_id, text)
-    p = p.withColumn("positive", F.col("trusted") | F.col("hole"))
-    r = p.groupBy("doc_id").agg(F.collect_list(F.struct("trusted", "hole", "positive", "feats")).alias("passages"))
-    r = ws.save(r, "records")
+    r = ws.save(records(documents, doc_id, text), "records")
     odds = None
     for _ in range(rounds):
         odds = _learn(r, odds)
