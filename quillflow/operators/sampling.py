@@ -94,12 +94,18 @@ def ratio_sample(df: DataFrame, c: str, flag: Column, n: int, ratio: float, name
     return d.select("id", "flagged", "epoch", slot.alias("slot_key"))
 
 
-def _one_group(rows: DataFrame, run, schema: str) -> DataFrame:
-    """Runs a sequential pick over all rows in one task, in batches it keeps narrow."""
+def _one_group(rows: DataFrame, run, schema: str, most: int = 5_000_000) -> DataFrame:
+    """Runs a sequential pick over a candidate pool in one task; a pool of more than ``most`` rows fails rather than swamps it."""
+    names = rows.columns
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)
-        yield run(pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=rows.columns))
+        parts, n = [], 0
+        for b in batches:
+            n += len(b)
+            if n > most:
+                raise ValueError(f"a sequential pick is for pools of at most {most} rows; narrow the pool first")
+            parts.append(b)
+        yield run(pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=names))
 
     return rows.coalesce(1).mapInPandas(whole, schema)
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillflow.plans import nested
+from quillflow.plans import nested, pools
 
-MODULES = [nested]
+MODULES = [nested, pools]
 
 
 def queries() -> dict:
