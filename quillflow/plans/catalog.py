@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillflow.plans import nested, pools
+from quillflow.plans import nested, pages, pools, scoring
 
-MODULES = [nested, pools]
+MODULES = [nested, pools, scoring, pages]
 
 
 def queries() -> dict:
