@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from quillflow.session import Workspace
 
@@ -166,7 +167,6 @@ def shares(mixed: DataFrame, targets: dict[str, tuple[float, int]]) -> DataFrame
     g = mixed.groupBy("source").agg(
         F.count("*").alias("n_docs"), F.sum("tokens").alias("tokens_at_hand"), F.sum(F.col("copies") * F.col("tokens")).alias("tokens_mixed"), F.sum("copies").alias("copies"), F.max("copies").alias("most_copies")
     )
-    all_ = mixed.agg(F.sum(F.col("copies") * F.col("tokens")).alias("total"))
-    j = t.join(g, "source", "left").join(F.broadcast(all_))
+    j = t.join(g, "source", "left").withColumn("total", F.sum("tokens_mixed").over(Window.partitionBy()))  # a row per target
     z = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return j.select("source", "target_share", "max_repeats", z("n_docs"), z("tokens_at_hand"), z("tokens_mixed"), z("copies"), z("most_copies"), (F.coalesce("tokens_mixed", F.lit(0)) / F.greatest(F.lit(1), F.col("total"))).alias("reached_share"))
+    return j.select("source", "target_share", "max_repeats", z("n_docs"), z("tokens_at_hand"), z("tokens_mixed"), z("copies"), z("most_copies"), (F.coalesce("tokens_mixed", F.lit(0)) / F.greatest(F.lit(1), F.coalesce("total", F.lit(0)))).alias("reached_share"))

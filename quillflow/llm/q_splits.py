@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillflow.functions.text import file_form, id_form
 from quillflow.llm.splits import assign_splits, tied_sets
@@ -42,5 +43,5 @@ def p1_splits(spark: SparkSession, sf: str) -> DataFrame:
     given = groups.join(assign_splits(groups, PROPORTIONS), "group_id")
     per = given.groupBy("split").agg(F.sum("weight").alias("n_records"), F.count("*").alias("n_groups"))
     wanted = F.create_map(*(F.lit(x) for kv in PROPORTIONS.items() for x in kv))
-    total = per.agg(F.sum("n_records").alias("total"))
-    return per.join(F.broadcast(total)).select("split", "n_records", "n_groups", (F.col("n_records") / F.col("total")).alias("share"), wanted[F.col("split")].alias("wanted"))
+    total = F.sum("n_records").over(Window.partitionBy())  # a row per split
+    return per.select("split", "n_records", "n_groups", (F.col("n_records") / total).alias("share"), wanted[F.col("split")].alias("wanted"))
