@@ -52,7 +52,7 @@ def clean_prediction(c: str | Column, compose: bool = True) -> Column:
     """A model's answer without thoughts, code fence, leading label and one pair of equal quotes; canonical."""
     s = F.regexp_replace(F.coalesce(_c(c), F.lit("")), r"(?is)<think>.*?</think>", "")
     s = F.regexp_replace(F.trim(collapse_ends(s)), r"(?is)^```[a-z0-9_-]*\s*(.*?)\s*```$", "$1")
-    s = F.regexp_replace(collapse_ends(s), r"(?i)^(인식 결과|출력|텍스트|text|output|result)\s*[::]\s*", "")
+    s = F.regexp_replace(collapse_ends(s), r"(?i)^(인식 결과|출력|텍스트|text|output|result)\s*[:：]\s*", "")
     s = collapse_ends(s)
     q = (F.length(s) >= 2) & (F.substring(s, 1, 1) == F.substring(s, -1, 1)) & F.substring(s, 1, 1).isin('"', "'", "`")
     return canonical(F.when(q, F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(s), compose)

@@ -23,7 +23,8 @@ def numeric_stats(value: str | Column, prefix: str = "") -> list[Column]:
 def strict_stats(df: DataFrame, value: str, prefix: str = "") -> DataFrame:
     """The same, failing on empty input."""
     g = df.agg(*numeric_stats(value, prefix), F.count(value).alias("_n"))
-    return g.withColumn("_n", F.when(F.col("_n") == 0, F.raise_error(F.lit("no values"))).otherwise(F.col("_n"))).drop("_n")
+    mean = prefix + "mean"
+    return g.withColumn(mean, F.when(F.col("_n") == 0, F.raise_error(F.lit("no values")).cast("double")).otherwise(F.col(mean))).drop("_n")
 
 
 def or_zero(c: Column, digits: int = 4) -> Column:
