@@ -26,7 +26,32 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
     return line.unionByName(pool)
 
 
-@R.add("p1_found")
+_WIDE, _THIN = "".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
+
+
+def _folded(c: str) -> str:
+    return f"lower(translate(regexp_replace({c}, '[\\p{{Cf}}]', '', 'g'), '{_WIDE}', '{_THIN}'))"
+
+
+def _id_sql(c: str) -> str:
+    return f"nullif(regexp_replace(regexp_replace({_folded(c)}, '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g'), '')"
+
+
+def _file_sql(c: str) -> str:
+    return f"nullif(trim(list_last(string_split(regexp_replace(replace({_folded(c)}, chr(92), '/'), '[\\s\\p{{Z}}]+', ' ', 'g'), '/'))), '')"
+
+
+@R.add(
+    "p1_found",
+    f"""
+    WITH RECURSIVE r AS (SELECT line_id AS id, 'i:' || {_id_sql('identifier')} AS k FROM line_record UNION ALL SELECT line_id, 'f:' || {_file_sql('source_image')} FROM line_record
+      UNION ALL SELECT row_id, 's:' || {_id_sql('sid')} FROM source_metadata UNION ALL SELECT row_id, 's:' || {_id_sql('source_sid')} FROM source_metadata),
+    n AS (SELECT DISTINCT id, k FROM r WHERE k IS NOT NULL), e AS (SELECT DISTINCT a.k AS k1, b.k AS k2 FROM n a JOIN n b ON a.id = b.id AND a.k <> b.k),
+    reach AS (SELECT DISTINCT k AS a, k AS b FROM n UNION SELECT reach.a, e.k2 FROM reach JOIN e ON reach.b = e.k1),
+    m AS (SELECT k, min(id) AS least FROM n GROUP BY k), g AS (SELECT a AS k, min(least) AS group_id FROM reach JOIN m ON m.k = reach.b GROUP BY a), s AS (SELECT DISTINCT n.id, g.group_id FROM n JOIN g USING (k))
+    SELECT id AS record_id, group_id FROM s WHERE group_id IN (SELECT group_id FROM s GROUP BY group_id HAVING count(*) > 1)
+    """,
+)
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     sets = tied_sets(_records(spark, sf), "id", F.col("keys"))
     return sets.filter("size > 1").select(F.col("id").alias("record_id"), "group_id")
