@@ -24,6 +24,7 @@ may carry any name, for only the two named ones are read.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 
@@ -81,28 +82,45 @@ def _elements(value):
     return None if value is None else [(None, value)]
 
 
+def _kind(v) -> str:
+    return "null" if v is None else "object" if isinstance(v, dict) else "list" if isinstance(v, list) else "scalar"
+
+
+def _scalar(v) -> str:
+    return v if isinstance(v, str) else str(v) if type(v) is int else json.dumps(v, ensure_ascii=False)
+
+
 class _Node:
-    """A step of the record's own schema."""
+    """A step of the record's own schema: its path, the levels it can have, and where its entries go."""
 
-    __slots__ = ("fields", "item", "leaf")
+    __slots__ = ("path", "mr", "md", "fields", "item", "leaf", "column", "kinds", "live")
 
-    def __init__(self):
+    def __init__(self, path: str, mr: int, md: int):
+        self.path, self.mr, self.md = path, mr, md
         self.fields: dict[str, _Node] = {}
         self.item: _Node | None = None
         self.leaf = False
+        self.column = self.kinds = None
+        self.live = False
 
+    def field(self, name: str) -> _Node:
+        got = self.fields.get(name)
+        if got is None:
+            got = self.fields[name] = _Node(f"{self.path}.{name}" if self.path else name, self.mr, self.md + 1)
+        return got
 
-def _kind(v) -> str:
-    return "null" if v is None else "object" if isinstance(v, dict) else "list" if isinstance(v, list) else "scalar"
-
-
-def _scalar(v) -> str:
-    return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+    def element(self) -> _Node:
+        if self.item is None:
+            self.item = _Node(f"{self.path}[]", self.mr + 1, self.md + 2)
+        return self.item
 
 
 class _Shredder:
-    def __init__(self, containers: Sequence[str]):
+    """Stripes one record after another; only wanted leaves, and only the steps that lead to them, are visited."""
+
+    def __init__(self, containers: Sequence[str], keep: str | None = None):
         self.containers = frozenset(containers)
+        self.wanted = re.compile(keep).search if keep else lambda path: True
 
     def _form(self, name: str | None, v):
         """Containers become lists of (key, element); other lists too, without keys."""
@@ -114,85 +132,111 @@ class _Shredder:
         if isinstance(v, dict):
             for k, x in v.items():
                 f = self._form(k, x)
-                child = node.fields.setdefault(k, _Node())
+                child = node.field(k)
                 if isinstance(f, list):
-                    child.item = child.item or _Node()
+                    item = child.element()
                     for key, e in f:
                         if key is not None:
-                            child.item.fields.setdefault("$key", _Node()).leaf = True
-                        self._learn(child.item, e)
+                            item.field("$key").leaf = True
+                        self._learn(item, e)
                 else:
                     self._learn(child, f)
         elif isinstance(v, list):
-            node.item = node.item or _Node()
+            item = node.element()
             for e in v:
-                self._learn(node.item, e)
+                self._learn(item, e)
         else:
             node.leaf = True
 
-    def __call__(self, value):
-        """{path: (max_rep, max_def, reps, defs, vals)} of one record."""
-        root = _Node()
-        self._learn(root, value)
-        out: dict[str, tuple[int, int, list, list, list]] = {}
-
-        def put(path, mr, md, r, d, v):
-            col = out.get(path)
-            if col is None:
-                col = out[path] = (mr, md, [], [], [])
-            col[2].append(r)
-            col[3].append(d)
-            col[4].append(v)
-
-        def absent(node: _Node, path: str, mr: int, md: int, r: int, d: int) -> None:
-            """Every leaf below gets an entry that says how far its path exists."""
-            if node.leaf:
-                put(path, mr, md, r, d, None)
-            for k, c in node.fields.items():
-                absent(c, f"{path}.{k}" if path else k, mr, md + (k != "$key"), r, d)
-            if node.item is not None:
-                put(f"{path}[].$", mr + 1, md + 2, r, d, None)
-                absent(node.item, f"{path}[]", mr + 1, md + 2, r, d)
-
-        def emit(node: _Node, v, name, path: str, mr: int, md: int, r: int, key=None) -> None:
-            """md: the levels that exist down to here, which is also what the path can have."""
-            if node.leaf:
-                put(path, mr, md, r, md if v is not None and not isinstance(v, (dict, list)) else md - 1, None if v is None or isinstance(v, (dict, list)) else _scalar(v))
-            for k, c in node.fields.items():
-                p = f"{path}.{k}" if path else k
-                if k == "$key":
-                    put(p, mr, md, r, md if key is not None else md - 1, key)
-                elif isinstance(v, dict) and v.get(k) is not None:
-                    emit(c, self._form(k, v[k]), k, p, mr, md + 1, r)
+    def _place(self, node: _Node, out: dict) -> bool:
+        """Gives wanted leaves their columns; says whether any is below."""
+        if node.leaf and self.wanted(node.path):
+            node.column = out[node.path] = (node.mr, node.md, [], [], [])
+        if node.item is not None and self.wanted(f"{node.path}[].$"):
+            node.kinds = out[f"{node.path}[].$"] = (node.mr + 1, node.md + 2, [], [], [])
+        below = [self._place(c, out) for c in (*node.fields.values(), *([node.item] if node.item is not None else []))]
+        node.live = bool(node.column or node.kinds or any(below))
+        return node.live
+
+    def _absent(self, node: _Node, r: int, d: int) -> None:
+        """Every leaf below gets an entry that says how far its path exists."""
+        if node.column:
+            _put(node.column, r, d, None)
+        for c in node.fields.values():
+            if c.live:
+                self._absent(c, r, d)
+        if node.item is not None:
+            if node.kinds:
+                _put(node.kinds, r, d, None)
+            if node.item.live:
+                self._absent(node.item, r, d)
+
+    def _emit(self, node: _Node, v, r: int, key=None) -> None:
+        """Entries of a value that is there; a list comes as pairs of key and element."""
+        md = node.md
+        if node.column:
+            plain = v is not None and not isinstance(v, (dict, list))
+            _put(node.column, r, md if plain else md - 1, _scalar(v) if plain else None)
+        there = isinstance(v, dict)
+        for k, c in node.fields.items():
+            if not c.live:
+                continue
+            if k == "$key":
+                if key is not None:
+                    self._emit(c, key, r)
                 else:
-                    absent(c, p, mr, md + 1, r, md if isinstance(v, dict) else md - 1)
-            if node.item is not None:
-                p = f"{path}[]"
-                if isinstance(v, list) and v:
-                    for i, (k, e) in enumerate(v):
-                        at = r if i == 0 else mr + 1
-                        e = [(None, x) for x in e] if isinstance(e, list) else e
-                        put(f"{p}.$", mr + 1, md + 2, at, md + 2 if e is not None else md + 1, _kind(e))
-                        if e is None:
-                            absent(node.item, p, mr + 1, md + 2, at, md + 1)
-                        else:
-                            emit(node.item, e, None, p, mr + 1, md + 2, at, k)
+                    self._absent(c, r, md)
+            elif there and v.get(k) is not None:
+                self._emit(c, self._form(k, v[k]), r)
+            else:
+                self._absent(c, r, md if there else md - 1)
+        item = node.item
+        if item is None or not (node.kinds or item.live):
+            return
+        if isinstance(v, list) and v:
+            for i, (k, e) in enumerate(v):
+                at = r if i == 0 else item.mr
+                e = [(None, x) for x in e] if isinstance(e, list) else e
+                if node.kinds:
+                    _put(node.kinds, at, md + 2 if e is not None else md + 1, _kind(e))
+                if not item.live:
+                    continue
+                if e is None:
+                    self._absent(item, at, md + 1)
                 else:
-                    put(f"{p}.$", mr + 1, md + 2, r, md, None)
-                    absent(node.item, p, mr + 1, md + 2, r, md)
+                    self._emit(item, e, at, k)
+        else:
+            if node.kinds:
+                _put(node.kinds, r, md, None)
+            if item.live:
+                self._absent(item, r, md)
 
-        emit(root, value, None, "", 0, 0, 0)
+    def __call__(self, value):
+        """{path: (max_rep, max_def, reps, defs, vals)} of one record."""
+        root, out = _Node("", 0, 0), {}
+        self._learn(root, value)
+        if self._place(root, out):
+            self._emit(root, value, 0)
         return out
 
 
-def shred(df: DataFrame, record: str, payload: str | Column, containers: Sequence[str] = ("bbox",)) -> DataFrame:
-    """Stripes of each record's payload (JSON text): see the module. One pass, no shuffle."""
+def _put(column: tuple, r: int, d: int, v) -> None:
+    column[2].append(r)
+    column[3].append(d)
+    column[4].append(v)
+
+
+def shred(df: DataFrame, record: str, payload: str | Column, containers: Sequence[str] = ("bbox",), keep: str | None = None) -> DataFrame:
+    """Stripes of each record's payload (JSON text): see the module. One pass, no shuffle.
+
+    ``keep``: a pattern of the paths wanted; other leaves are not striped.
+    """
     body = F.col(f"`{payload}`") if isinstance(payload, str) else payload
     rows = df.select(F.col(f"`{record}`").cast("long").alias("record"), body.alias("payload"))
     names = tuple(containers)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sh = _Shredder(names)
+        sh = _Shredder(names, keep)
         for pdf in batches:
             got = []
             for rec, text in zip(pdf["record"], pdf["payload"]):

@@ -19,9 +19,7 @@ def _payloads(spark: SparkSession, sf: str, raw: bool = True) -> DataFrame:
 
 def _stripes(spark: SparkSession, sf: str, keep: str | None = None, raw: bool = True) -> tuple[DataFrame, int]:
     """Shredded once, written as the striped table, then read by whatever is rebuilt from it."""
-    s = S.shred(_payloads(spark, sf, raw), "page_id", "payload")
-    if keep:
-        s = s.filter(F.col("path").rlike(keep))
+    s = S.shred(_payloads(spark, sf, raw), "page_id", "payload", keep=keep)
     s = Workspace(spark, "stripes").save(s, "stripes")
     return s, S.depth_of(s)
 
