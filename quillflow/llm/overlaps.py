@@ -141,8 +141,11 @@ def near_texts(evaluation: DataFrame, training: DataFrame) -> DataFrame:
     same_bits = F.bit_count(F.col("sig_e").bitwiseXOR(F.col("sig_t"))) <= k * 2
     hit = e.join(t, "key").filter(same_bits & (F.abs(F.col("n_e") - F.col("n_t")) <= k) & (F.col("id_e") != F.col("id_t"))).select("id_e", "id_t").distinct()
     hit = hit.join(evaluation.select(F.col("id").alias("id_e"), F.col("text").alias("e")), "id_e").join(training.select(F.col("id").alias("id_t"), F.col("text").alias("t")), "id_t")
-    far = (F.greatest(F.length("e"), F.length("t")) / ONE_IN).cast("int")
-    return hit.filter(F.levenshtein("e", "t") <= far).select("id_e", "id_t")
+    n = F.greatest(F.length("e"), F.length("t"))
+    d = F.levenshtein("e", "t")
+    for most in (100_000, 10_000, 1_000, 100):  # the width of the band grows with the length; -1 is beyond it
+        d = F.when(n <= most, F.levenshtein("e", "t", most // ONE_IN)).otherwise(d)
+    return hit.filter((d >= 0) & (d <= (n / ONE_IN).cast("int"))).select("id_e", "id_t")
 
 
 def _texts(rows: DataFrame, row: str, columns: list[str]) -> DataFrame:
