@@ -11,8 +11,8 @@ Unicode data of the running interpreter; their size is bounded by Unicode itself
 rows), which is what makes the broadcast safe at any corpus size.
 
 What counts as the same: canonical forms, <wide> and <narrow> forms, every blank (runs of blanks
-are one gap, none at the ends), characters that take no room, and letters of other scripts that
-look like Latin ones within a word that has Latin letters or no letters of that script that look different.
+are one gap, none at the ends), characters that take no room, and letters of
+other scripts that look like Latin ones.
 What stays different: ligatures, circled or raised forms, case, punctuation with another look.
 
 Edge cases: null stays null; '' and blank text become ''; very long texts are only as long as
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillflow.functions.text import BLANKS, INVISIBLE
+from quillflow.session import Workspace
 
 # Letters that look like a Latin letter, and marks that look like an ASCII one.
 CYRILLIC = dict(zip("АВЕКМНОРСТХУІЈЅаеорсухіјѕһԁԛԝ", "ABEKMHOPCTXYIJSaeopcyxijshdqw"))
@@ -155,17 +155,19 @@ def _chr(code: Column) -> Column:
     return F.decode(F.unhex(hx), "UTF-8")
 
 
-def one_form(texts: DataFrame, key: str, text: str) -> DataFrame:
+def one_form(texts: DataFrame, key: str, text: str, ws: Workspace | None = None) -> DataFrame:
     """(key, form) of each row; ``key`` tells the rows apart (repeat it and the texts must be the same).
 
     One exchange of the texts by key; exploding, the broadcast joins and the rebuilding stay
-    within that partitioning. Only texts that are not settled take part.
+    within that partitioning, which keeps its number of partitions, since texts grow much when exploded.
+    Only texts that are not settled take part. Sequences are written once and read by each way to go on.
     """
     spark = texts.sparkSession
     rows = texts.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
     calm = F.col("t").isNull() | F.col("t").rlike(SETTLED)
     plain = rows.filter(calm).select("k", "t")
-    odd = rows.filter(~calm).groupBy("k").agg(F.first("t").alias("t"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    odd = rows.filter(~calm).repartition(parts, "k").groupBy("k").agg(F.first("t").alias("t"))
     ch = odd.select("k", F.posexplode(F.split("t", "")).alias("pos", "ch"))
     got = ch.join(F.broadcast(_piece_table(spark)), "ch", "left").select("k", "pos", F.coalesce("to", _syllable_parts("ch"), "ch").alias("to"))
     # A piece may hold a letter and marks; each becomes a place of its own, in order.
@@ -181,6 +183,7 @@ def one_form(texts: DataFrame, key: str, text: str) -> DataFrame:
     )
     flat = F.array_join(F.transform("seq", lambda x: x["p"]), "")
     seq = seq.select("k", F.when(plain_marks, F.transform(F.split(flat, ""), lambda x: x)).otherwise(cluster).alias("clusters"), plain_marks.alias("bare"), flat.alias("flat"))
+    seq = (ws or Workspace(spark, "forms")).save(seq, "sequences")
     marked = seq.filter(~F.col("bare")).select("k", F.posexplode("clusters").alias("n", "c"))
     # Recomposition: a cluster's letter takes its marks one after another while the pair exists.
     table = F.broadcast(_pair_table(spark))
