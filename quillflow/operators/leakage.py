@@ -35,10 +35,10 @@ def overlap_flags(left: DataFrame, row: str, left_families: Families, right: Dat
 
 
 def with_overlap(left: DataFrame, row: str, left_families: Families, right: DataFrame, right_families: Families, suffix: str = "_overlap") -> DataFrame:
-    """The left rows with a flag per family."""
+    """The left rows with a flag per family, in place of any earlier column of that name."""
     flags = overlap_flags(left, row, left_families, right, right_families)
     flags = flags.select(row, *(F.col(f).alias(f + suffix) for f in left_families))
-    out = left.join(flags, row, "left")
+    out = left.drop(*(f + suffix for f in left_families)).join(flags, row, "left")
     return reduce(lambda d, f: d.withColumn(f + suffix, F.coalesce(f + suffix, F.lit(False))), left_families, out)
 
 
