@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillflow.llm.charforms import one_form
+from quillflow.llm.charforms import alone_jamo, one_form, pieces
 from quillflow.plans.registry import Registry
 from quillflow.session import table
 
@@ -20,7 +20,17 @@ def _forms(rows: DataFrame) -> DataFrame:
     return g
 
 
-@R.add("p5_found")
+def _form_sql(x: str) -> str:
+    """The same form by SQL's own composition and a character map; it leaves out composed letters of look-alike scripts."""
+    pairs = [(c, p) for c, p, k in pieces() if len(p) == 1 and not k]
+    lit = lambda s: "'" + s.replace("'", "''") + "'"
+    gone = "".join(c for c, p, k in pieces() if p == "" and c != chr(0))
+    mapped = f"translate({x}, {lit(''.join(c for c, _ in pairs if c != chr(0)) + gone)}, {lit(''.join(p for c, p in pairs if c != chr(0)))})"
+    alone = alone_jamo()
+    return f"trim(regexp_replace(translate(nfc_normalize({mapped}), {lit(''.join(alone))}, {lit(''.join(alone.values()))}), ' +', ' ', 'g'))"
+
+
+@R.add("p5_found", f"SELECT pred_id FROM ocr_prediction WHERE ground_truth <> prediction AND {_form_sql('ground_truth')} = {_form_sql('prediction')}")
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "ocr_prediction").select("pred_id", "ground_truth", "prediction")
     return _forms(t.filter("ground_truth <> prediction")).filter("g = p").select("pred_id")

@@ -17,7 +17,15 @@ def _measured(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("pred_id", "model_name", repetition(F.col("raw_prediction")).alias("m")).select("pred_id", "model_name", "m.*")
 
 
-@R.add("p6_found")
+@R.add(
+    "p6_found",
+    """
+    WITH t AS (SELECT pred_id, regexp_replace(lower(raw_prediction), '[^\\p{L}]+', '', 'g') AS s FROM strict_error_prediction WHERE raw_prediction IS NOT NULL),
+    g AS (SELECT pred_id, length(s) AS n, unnest(range(1, length(s) - 3)) AS i, s FROM t WHERE length(s) > 5), w AS (SELECT pred_id, n, i, substring(s, i, 5) AS w FROM g),
+    f AS (SELECT pred_id, n, i, min(i) OVER (PARTITION BY pred_id, w) AS least FROM w), c AS (SELECT DISTINCT pred_id, n, i + j AS k FROM f, range(5) x(j) WHERE least < i)
+    SELECT pred_id FROM c GROUP BY pred_id, n HAVING count(*) * 2 >= n
+    """,
+)
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return _measured(spark, sf).filter("repeated_share >= 0.5").select("pred_id")
 

@@ -38,8 +38,8 @@ MEASURES = T.StructType(
 
 
 def _bare(text: str) -> str:
-    """Letters and marks only, without case: blanks, numbering and end marks do not matter."""
-    return "".join(c for c in text.casefold() if c.isalpha() or not c.isascii() and c.isalnum() and not c.isdigit())
+    """Letters only, without case: blanks, numbering and end marks do not matter."""
+    return "".join(c for c in text.lower() if c.isalpha())
 
 
 def repeated_share(text: str, gram: int = 5) -> float:
