@@ -55,34 +55,45 @@ def explode_boxes(pages: DataFrame, page: str = "page_id", strict: bool = False)
     return e.select("page", "box", "width", "height", F.col("b.id").alias("id"), F.col("b.data").alias("data"), h.alias("hull"), problem.alias("problem"))
 
 
-LINES = T.StructType([T.StructField(n, t) for n, t in (("page", T.LongType()), ("box", T.IntegerType()), ("line", T.IntegerType()), ("place", T.IntegerType()))])
+LINES = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("box", "line", "place")]))
 #: The two ways at hand: floor of the tolerance in pixels, and how a line's centre follows its boxes.
 PRESETS = {"analysis": (10.0, mean), "build": (8.0, median)}
 
 
+def _grouped(boxes: list[tuple], floor: float, share: float, centre) -> list[tuple[int, int, int]]:
+    """(box, line, place) of one page's boxes, given as (ymin, ymax, xmin, xmax, box)."""
+    rows = sorted(((b[0] + b[1]) / 2, (b[2] + b[3]) / 2, b[4], b[2]) for b in boxes)
+    tolerance = max(floor, share * median(b[1] - b[0] for b in boxes))
+    lines: list[list] = []
+    middles: list[float] = []
+    for r in rows:
+        near = min(((abs(m - r[0]), k) for k, m in enumerate(middles)), default=None)
+        if near is not None and near[0] <= tolerance:
+            k = near[1]
+            lines[k].append(r)
+            middles[k] = centre([m[0] for m in lines[k]])
+        else:
+            lines.append([r])
+            middles.append(r[0])
+    order = sorted(range(len(lines)), key=middles.__getitem__)
+    return [(m[2], line, place) for line, k in enumerate(order) for place, m in enumerate(sorted(lines[k], key=lambda m: (m[3], m[2])))]
+
+
 def group_lines(boxes: DataFrame, preset: str = "build", share: float = 0.6) -> DataFrame:
     """(page, box, line, place): lines from top to bottom and places from left to right, both 0-based.
 
-    ``boxes``: page, box and hull of usable boxes.
+    ``boxes``: page, box and hull of usable boxes. A page's boxes travel as one array.
     """
     floor, centre = PRESETS[preset]
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip((p["ymin"] + p["ymax"]) / 2, (p["xmin"] + p["xmax"]) / 2, p["box"], p["xmin"]))
-        tolerance = max(floor, share * median(p["ymax"] - p["ymin"]))
-        lines: list[list] = []
-        for r in rows:
-            near = min(((abs(centre([m[0] for m in ln]) - r[0]), k) for k, ln in enumerate(lines)), default=None)
-            if near is not None and near[0] <= tolerance:
-                lines[near[1]].append(r)
-            else:
-                lines.append([r])
-        lines.sort(key=lambda ln: centre([m[0] for m in ln]))
-        out = [(int(p["page"].iloc[0]), int(m[2]), k, j) for k, ln in enumerate(lines) for j, m in enumerate(sorted(ln, key=lambda m: (m[3], m[2])))]
-        return pd.DataFrame(out, columns=LINES.names)
-
-    flat = boxes.filter("hull IS NOT NULL").select(F.col("page").cast("long").alias("page"), F.col("box").cast("int").alias("box"), "hull.*")
-    return flat.groupBy("page").applyInPandas(run, LINES)
+    @F.pandas_udf(LINES)
+    def run(pages: pd.Series) -> pd.Series:
+        return pd.Series([_grouped([(b["ymin"], b["ymax"], b["xmin"], b["xmax"], b["box"]) for b in p], floor, share, centre) for p in pages], dtype=object)
+
+    h = F.col("hull")
+    one = F.struct(h["ymin"].alias("ymin"), h["ymax"].alias("ymax"), h["xmin"].alias("xmin"), h["xmax"].alias("xmax"), F.col("box").cast("int").alias("box"))
+    per = boxes.filter("hull IS NOT NULL").groupBy(F.col("page").cast("long").alias("page")).agg(F.collect_list(one).alias("boxes"))
+    return per.select("page", F.explode(run("boxes")).alias("m")).select("page", "m.*")
 
 
 def line_records(boxes: DataFrame, lines: DataFrame, pad: int = 4) -> DataFrame:

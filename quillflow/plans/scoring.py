@@ -112,9 +112,10 @@ def _spans(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("span_outcomes")
 def span_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """Per model: spans by outcome, and rows by class."""
-    d = _spans(spark, sf)
-    spans = d.select("model_name", F.explode("scored").alias("s")).groupBy("model_name", F.lit("span").alias("level"), F.col("s.outcome").alias("outcome")).agg(F.count("*").alias("n"))
-    return spans.unionByName(d.groupBy("model_name", F.lit("sample").alias("level"), F.col("class").alias("outcome")).agg(F.count("*").alias("n")))
+    entry = lambda level, outcome: F.struct(F.lit(level).alias("level"), outcome.alias("outcome"))
+    both = F.concat(F.transform("scored", lambda s: entry("span", s["outcome"])), F.array(entry("sample", F.col("class"))))
+    d = _spans(spark, sf).select("model_name", F.explode(both).alias("e"))
+    return d.groupBy("model_name", "e.level", "e.outcome").agg(F.count("*").alias("n"))
 
 
 @R.add("span_rows")
