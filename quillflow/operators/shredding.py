@@ -324,11 +324,14 @@ def points(e: DataFrame) -> DataFrame:
     )
 
 
-def pages(e: DataFrame) -> DataFrame:
-    """One row per page: page_id, the fields of Dataset and Images and any other top-level scalar, as a map of path to text."""
+def pages(e: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """One row per page: page_id, the fields of Dataset and Images, and with any other top-level scalar as a map of path to text.
+
+    ``records``: a frame with a column ``record`` of all pages, where ``e`` may lack those without a top-level scalar.
+    """
     at = e.filter((F.col("max_rep") == 0) & (F.col("def") == F.col("max_def")))
     g = at.groupBy("record").agg(F.array_sort(F.collect_list(F.struct(F.col("path").alias("key"), F.col("value").alias("value")))).alias("f"))
-    known = e.select("record").distinct()
+    known = (e if records is None else records).select("record").distinct()
     m = F.map_from_entries(F.coalesce(F.col("f"), F.array().cast("array<struct<key:string,value:string>>")))
     g = known.join(g, "record", "left").withColumn("m", m)
     place = lambda n: F.coalesce(F.col("m")[f"Images.{n}"], F.col("m")[f"images.{n}"])
@@ -338,5 +341,23 @@ def pages(e: DataFrame) -> DataFrame:
         F.expr("try_cast(coalesce(m['Images.width'], m['images.width']) as int)").alias("width"),
         F.expr("try_cast(coalesce(m['Images.height'], m['images.height']) as int)").alias("height"),
         F.coalesce(place("acquisition_location"), place("acquistion_location")).alias("acquisition_location"),
+        *(place(n).alias(n) for n in ("type", "writer_age", "writer_sex", "media_type", "pen_type", "written_content", "application_field")),
         F.col("m").alias("fields"),
     )
+
+
+#: Leaves that no other table holds: not the id and data of a box, its coordinates, or the markers.
+LEFT = r"^(?!bbox\[\](\.bbox\[\])*\.(id|data|[xy]\[\])$)(?!.*\[\]\.\$$)"
+
+
+def leaves(e: DataFrame) -> DataFrame:
+    """One row per value that ``boxes`` and ``points`` do not hold, at any depth: page_id, box_path (null outside boxes), path, place, value.
+
+    ``path`` is whole, ``place`` the place in each of its repeated steps; top-level values are here as written, with a column in ``pages`` or not.
+    """
+    at = e.filter(F.col("path").rlike(LEFT) & (F.col("def") == F.col("max_def")) & F.col("value").isNotNull())
+    up = F.regexp_count(F.regexp_extract("path", BOX + r"\.", 0), F.lit(r"\[\]"))
+    steps = F.col("place").cast("array<string>")
+    return at.select(
+        F.col("record").alias("page_id"), F.when(up > 0, F.array_join(F.slice(steps, F.lit(1), up), ".")).alias("box_path"), "path", F.array_join(steps, ".").alias("place"), "value"
+    )

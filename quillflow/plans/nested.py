@@ -33,13 +33,20 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("p4_pages")
 def p4_pages(spark: SparkSession, sf: str) -> DataFrame:
     s, depth = _stripes(spark, sf)
-    return S.pages(S.entries(s.filter("max_rep = 0"), 0)).drop("fields")
+    return S.pages(S.entries(s.filter("max_rep = 0"), 0), s).drop("fields")  # those are in p4_leaves
 
 
 @R.add("p4_boxes")
 def p4_boxes(spark: SparkSession, sf: str) -> DataFrame:
     s, depth = _stripes(spark, sf, S.BOX)
-    return S.boxes(S.entries(s, depth)).drop("other")
+    return S.boxes(S.entries(s, depth)).drop("other")  # those are in p4_leaves
+
+
+@R.add("p4_leaves")
+def p4_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    """Every value that p4_boxes and p4_points do not hold."""
+    s, depth = _stripes(spark, sf, S.LEFT)
+    return S.leaves(S.entries(s, depth))
 
 
 @R.add("p4_points")

@@ -69,3 +69,25 @@ def test_long_page_and_empty_table(spark):
     assert S.box_places(S.entries(s, 2)).count() == 20000
     empty = S.shred(_frame(spark, [big]).limit(0), "page_id", "payload")
     assert S.depth_of(empty) == 0 and S.box_places(S.entries(empty, 0)).count() == 0
+
+
+def test_remaining_leaves(spark):
+    texts = [
+        {"Images": {"identifier": "P", "type": "t", "width": "wide", "pen_type": "ink"}, "odd": 7, "list": [{"k": [1, 2]}],
+         "bbox": [{"id": 0, "x": [1], "size": 4, "note": {"checked": True, "tags": ["a", "b"]}, "bbox": [{"id": 1, "note": {"checked": False}}, 8]}, 9]},
+        {"bbox": [{"id": 3, "x": 5}]},
+    ]
+    d = _frame(spark, [json.dumps(t) for t in texts])
+    want = {
+        (0, None, "Images.identifier", "", "P"), (0, None, "Images.type", "", "t"), (0, None, "Images.width", "", "wide"), (0, None, "Images.pen_type", "", "ink"), (0, None, "odd", "", "7"),
+        (0, None, "list[].k[]", "0.0", "1"), (0, None, "list[].k[]", "0.1", "2"), (0, "0", "bbox[].size", "0", "4"), (0, "0", "bbox[].note.checked", "0", "true"),
+        (0, "0", "bbox[].note.tags[]", "0.0", "a"), (0, "0", "bbox[].note.tags[]", "0.1", "b"), (0, "0.0", "bbox[].bbox[].note.checked", "0.0", "false"),
+        (0, "0", "bbox[].bbox[]", "0.1", "8"), (0, None, "bbox[]", "1", "9"), (1, "0", "bbox[].x", "0", "5"),
+    }
+    for keep in (None, S.LEFT):
+        s = S.shred(d, "page_id", "payload", keep=keep).cache()
+        got = [tuple(r) for r in S.leaves(S.entries(s, S.depth_of(s))).collect()]
+        assert set(got) == want and len(got) == len(want)
+    s = S.shred(d, "page_id", "payload").cache()
+    p = {r["page_id"]: r for r in S.pages(S.entries(s.filter("max_rep = 0"), 0), s).collect()}
+    assert set(p) == {0, 1} and (p[0]["type"], p[0]["pen_type"], p[1]["type"]) == ("t", "ink", None)
