@@ -46,4 +46,5 @@ def numbered(df: DataFrame, order: list[str], name: str = "id", width: int = 6)
     per = d.groupBy("_p").agg(F.count("*").alias("n"), F.min("_m").alias("least"))  # a row per partition
     per = per.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     d = d.join(F.broadcast(per), "_p")
-    return d.select(*cols, F.lpad((F.col("before") + F.col("_m") - F.col("least") + 1).cast("string"), width, "0").alias(name))
+    number = (F.col("before") + F.col("_m") - F.col("least") + 1).cast("string")
+    return d.select(*cols, F.lpad(number, F.greatest(F.lit(width), F.length(number)), "0").alias(name))  # lpad alone cuts longer numbers

@@ -154,3 +154,8 @@ def test_layout(spark):
     assert r[0]["text"] == "가 나" and r[0]["gaps"] == [20.0] and r[0]["ids_follow_places"] is False and r[0]["crop_box"] == [6, 6, 74, 26]
     tall = spark.createDataFrame([(1, 0, (0.0, 0.0, 5.0, 13.0)), (1, 1, (9.0, 9.0, 14.0, 22.0))], "page long, box int, hull struct<xmin: double, ymin: double, xmax: double, ymax: double>")
     assert Y.group_lines(tall, "build").agg(F.max("line")).first()[0] == 1 and Y.group_lines(tall, "analysis").agg(F.max("line")).first()[0] == 0
+
+
+def test_numbers_past_the_width_are_whole(spark):
+    got = W.numbered(spark.range(1_000_003), ["id"], "number").filter("id >= 999998 OR id = 0").orderBy("id")
+    assert [r[1] for r in got.collect()] == ["000001", "999999", "1000000", "1000001", "1000002", "1000003"]
