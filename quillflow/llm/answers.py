@@ -38,8 +38,6 @@ POLITE_KO = r"(니다|어요|아요|네요|세요|까요|군요|죠|드립니다
 CANNOT_EN = r"(?i)\b(can ?not|can['’]?t|could ?n['’]?t|could not|unable|not able|won['’]?t|will not|not (possible|permitted|allowed)|do(es)? ?n['’]?t|do not|refuse|decline|no (image|text|handwriting))\b"
 ABOUT_EN = r"(?i)\b(image|picture|photo|handwrit\w*|text|line|page|pages|file|request|task|help|assist|read|transcribe|decipher|process|make out|recogni[sz]e|language model|AI|see|view)\b"
 SELF_EN = r"(?i)(\bI\b|\bI['’](m|ll|ve)|\bsorry\b|\bapologi[sz]e|\bunfortunately\b|\blanguage model\b|\bassistant\b)"
-#: Texts longer than this are compared by their parts of eight characters, for a distance takes time with the square of the length.
-LONG = 5000
 #: Words that carry no content, by language; enough to tell languages of one script apart.
 FUNCTION_WORDS = {
     "en": "the of and a an to in on at by near behind before after beyond opposite inside with was is are were that this it his her my our their your one two for from while during",
@@ -165,12 +163,10 @@ def defects(rows: DataFrame, key: str, raw: str, prompt: str, reference: str, un
 
     # The rest: only answers that do not read like the reference, in whole or at their beginning.
     def near(x: Column, y: Column, th: float) -> Column:
-        """Within th edits a character; lengths too far apart need no distance."""
-        longest = F.greatest(F.length(x), F.length(y))
-        most = longest * th
-        parts = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("(.{1,8})"), F.lit(1)))
-        shared = F.size(F.array_intersect(parts(x), parts(y))) >= F.size(parts(y)) * (1 - th)
-        return F.when(F.abs(F.length(x) - F.length(y)) > most, False).when(longest > LONG, shared).otherwise(F.levenshtein(x, y) <= most)
+        """Within th edits a character, at every length; lengths too far apart need no distance, and no row of one leaves the band of th."""
+        most = F.greatest(F.length(x), F.length(y)) * th
+        within = F.call_function("levenshtein", x, y, F.floor(most).cast("int")) >= 0  # -1 beyond
+        return F.when(F.abs(F.length(x) - F.length(y)) > most, False).otherwise(within)
 
     head = F.substring(F.col("a"), F.lit(1), F.length("g"))
     like = F.when(F.length("g") == 0, False).otherwise(near(head, F.col("g"), 0.5))

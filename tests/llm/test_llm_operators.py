@@ -89,6 +89,31 @@ def test_length_spikes(spark):
     assert [r["spike"] for r in answers.length_spikes(spark.createDataFrame(rows, "t string"), "t").collect()] == [50]
 
 
+def test_very_long_answers_are_compared_whole(spark):
+    rnd = random.Random(7)
+    long = "".join(chr(rnd.randrange(0xAC00, 0xD7A4)) for _ in range(6000))
+    other = "".join(chr(rnd.randrange(0xAC00, 0xD7A4)) for _ in range(6000))
+    rows = [
+        (1, long[1:], long, "짧은 글"),  # the prompt but for its first letter
+        (2, "가" + long, long, "짧은 글"),
+        (3, long[:3000] + other[:3000], long, "짧은 글"),  # half of it
+        (4, "the " * 1900, "x", "the " * 1900),
+        (5, long[1:], long[:5500], long),  # reads like its reference, which comes first
+        (6, "가나다라마바사" * 900, ("가나다라마바사" + other[:7]) * 450, "짧은 글"),  # a loop is no copy
+    ]
+    d = spark.createDataFrame(rows, "k long, raw string, prompt string, ref string")
+    got = {r["k"]: r["defect_type"] for r in answers.defects(d, "k", "raw", "prompt", "ref").collect()}
+    assert got == {1: "copied_prompt", 2: "copied_prompt"}
+
+
+def test_banded_distance_is_exact(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("가나b") for _ in range(rnd.randrange(12)))
+    d = spark.createDataFrame([(word(), word(), k) for _ in range(300) for k in (0, 1, 3, 6)], "x string, y string, k int")
+    full, band = F.levenshtein("x", "y"), F.call_function("levenshtein", "x", "y", "k")
+    assert d.filter((full <= F.col("k")) != (band >= 0)).count() == 0
+
+
 # --- problem 3 ---------------------------------------------------------------------------------------------------------
 def _lev(a, b):
     row = list(range(len(b) + 1))
