@@ -31,14 +31,16 @@ from pyspark.sql import types as T
 from quillflow.llm.charforms import fold
 
 GRAM, SEED, PASSAGE, FEW, LONG = 7, 5, 18, 3, 16
+#: Shorter runs count where several stand in the item's own order.
+RUN, SEVERAL = 8, 3
 #: All lengths are for scripts that write a syllable or word in a character; letters of alphabets count less.
 LETTER = 2.5
 #: A passage may skip so many characters (altered words), and drift by so many.
 SKIP, DRIFT = 14, 6
 #: Telling matches of so much of an item make it a suspect; an item of which half stands in a text has far more.
 PART = 0.3
-#: Half of the item, and a little for common phrases that passages take in at their ends.
-COVER = 0.52
+#: Half of the item.
+COVER = 0.5
 FOUND = T.StructType(
     [
         T.StructField("item_id", T.LongType()),
@@ -225,7 +227,39 @@ class Block:
                 else:
                     open_.append([i, i, p, p, seed])
         need = min(PASSAGE * f, len(self.texts[item]))
-        return [(c[0], c[1] + seed, c[2], c[3] + seed) for c in done + open_ if c[4] >= need]
+        runs = [(c[0], c[1] + seed, c[2], c[3] + seed, c[4]) for c in done + open_ if c[4] >= min(RUN * f, need)]
+        row = _in_order(runs, seed)
+        kept = {r for r in runs if r[4] >= need} | set(row if len(row) >= SEVERAL else [])
+        return [r[:4] for r in sorted(kept)]
+
+
+def _in_order(runs: list[tuple[int, int, int, int, int]], lap: int) -> list[tuple[int, int, int, int, int]]:
+    """The heaviest runs (start, end, from, to, weight) that follow each other in the text and in the item, there with at most ``lap`` shared."""
+    if not runs:
+        return []
+    size = max(r[3] for r in runs) + 1
+    tree: list[tuple[int, int]] = [(0, -1)] * (size + 1)  # prefix maxima over the item's places
+    best, back = [0] * len(runs), [-1] * len(runs)
+    ended = sorted(range(len(runs)), key=lambda k: runs[k][1])
+    e = 0
+    for k in sorted(range(len(runs)), key=lambda k: runs[k][0]):
+        start, _, a, _, weight = runs[k]
+        while runs[ended[e]][1] <= start:
+            j, e = ended[e], e + 1
+            x = runs[j][3] + 1
+            while x <= size:
+                tree[x] = max(tree[x], (best[j], j))
+                x += x & -x
+        top, x = (0, -1), min(a + min(lap, weight - 1) + 1, size)
+        while x:
+            top = max(top, tree[x])
+            x -= x & -x
+        best[k], back[k] = top[0] + weight, top[1]
+    k, out = max(range(len(runs)), key=best.__getitem__), []
+    while k >= 0:
+        out.append(runs[k])
+        k = back[k]
+    return out[::-1]
 
 
 def _cover(spans: list[tuple[int, int]]) -> int:

@@ -253,6 +253,24 @@ def test_leaks(spark):
     assert {(100, 1), (100, 9), (103, 2)} <= {(r["item_id"], r["doc_id"]) for r in few.collect()}
 
 
+def test_leaks_of_half_in_blocks_runs_or_altered(spark):
+    words = ITEM.split()
+    block, n = "", 0
+    for w in words:  # a block of just over half
+        if n * 2 >= len(leaks.normal(ITEM)):
+            break
+        block, n = block + w + " ", n + len(leaks.normal(w))
+    runs = [" ".join(words[k : k + 4]) for k in range(0, len(words), 4)]
+    other = OTHER.split()
+    scattered = " ".join(r + " " + " ".join(other[k : k + 6]) for k, r in enumerate(runs[:5]))
+    altered = " ".join("둥근" if k % 3 == 2 else w for k, w in enumerate(words))
+    third = " ".join(words[: len(words) * 3 // 10])
+    docs = [(1, OTHER + block + OTHER), (2, OTHER + scattered + OTHER), (3, OTHER + altered), (4, OTHER + third + OTHER), (5, OTHER * 4)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    q = spark.createDataFrame([(100, ITEM)], "item_id long, text string")
+    assert {r["doc_id"] for r in leaks.leaks(d, "doc_id", "text", q, "item_id", "text").collect()} == {1, 2, 3}
+
+
 # --- problem 8 ---------------------------------------------------------------------------------------------------------
 def test_mix_reaches_targets(spark):
     rnd = random.Random(4)
