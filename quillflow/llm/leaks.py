@@ -2,11 +2,13 @@
 
 All items of a block go into one generalised suffix automaton over their normalised characters (one character form,
 no case, blanks or punctuation, so that line breaks, spacing and spelling forms do not matter). Documents are
-streamed past it: rolling hashes of ``GRAM`` characters, computed for a whole batch at once, tell where a document can
-match at all, and there the automaton yields the longest match that ends at each place and the items it stands in.
-A match that few items share, or a long one, makes its items suspects. A suspect is settled by its passages: seeds of
-``SEED`` characters are chained along near diagonals, so single altered words or characters do not break a
-passage; passages longer than what templates and common phrases share count, and a document leaks an item whose
+streamed past it: rolling hashes of ``SEED`` characters, computed for a whole batch at once, tell where a document can
+match at all, and there the automaton yields the state of every seed and so its places in the items.
+A suspect is an item of which seeds cover so much that its passages can cover ``COVER``: passages skip at most ``SKIP``
+characters at a time, so they cover at most SKIP / SEED of what their seeds cover, and no item is passed over that the
+alignment would find. A suspect is settled by its passages: seeds are chained along near diagonals, so single altered
+words or characters do not break a passage. Passages longer than what templates and common phrases share count, shorter
+ones where ``SEVERAL`` stand in the item's own order, and a document leaks an item whose
 passages cover ``COVER`` of it. ``spans`` gives the raw character ranges, ``without_spans`` the texts less them.
 
 The items are a stated query set: they are read in blocks of at most ``block_chars`` characters, and only one
@@ -30,15 +32,13 @@ from pyspark.sql import types as T
 
 from quillflow.llm.charforms import fold
 
-GRAM, SEED, PASSAGE, FEW, LONG = 7, 5, 18, 3, 16
+SEED, PASSAGE = 5, 18
 #: Shorter runs count where several stand in the item's own order.
 RUN, SEVERAL = 8, 3
 #: All lengths are for scripts that write a syllable or word in a character; letters of alphabets count less.
 LETTER = 2.5
 #: A passage may skip so many characters (altered words), and drift by so many.
 SKIP, DRIFT = 14, 6
-#: Telling matches of so much of an item make it a suspect; an item of which half stands in a text has far more.
-PART = 0.3
 #: Half of the item.
 COVER = 0.5
 FOUND = T.StructType(
@@ -142,6 +142,26 @@ class Automaton:
             yield len(text), n, s
 
 
+    def runs(self, text: str, width: int) -> Iterator[tuple[int, int]]:
+        """(start, state) of every ``width`` characters that stand in some item."""
+        nxt, link, length = self.next, self.link, self.length
+        s = n = 0
+        for i, c in enumerate(text):
+            while s and c not in nxt[s]:
+                s = link[s]
+                n = length[s]
+            if c in nxt[s]:
+                s = nxt[s][c]
+                n += 1
+            else:
+                n = 0
+            while n > width and length[link[s]] >= width:  # the state of the last ``width`` alone
+                s = link[s]
+                n = length[s]
+            if n >= width:
+                yield i - width + 1, s
+
+
 def _hashes(a: np.ndarray, gram: int) -> np.ndarray:
     """Hash of the ``gram`` characters from each place on."""
     n = max(len(a) - gram + 1, 0)
@@ -164,68 +184,74 @@ class Block:
     def __init__(self, ids: list[int], texts: list[str]):
         self.ids, self.texts = ids, [normal(t) for t in texts]
         self.automaton = Automaton(self.texts)
-        got = [_hashes(_codes(t), GRAM) for t in self.texts if len(t) >= GRAM]
-        self.grams = np.unique(np.concatenate(got)) if got else np.zeros(0, dtype=np.uint64)
-        self.bits = np.zeros(1 << 22, dtype=bool)
-        self.bits[(self.grams >> np.uint64(42)).astype(np.int64)] = True
         self.scales = [scale(t) for t in self.texts]
-        self.seeds: list[dict[str, list[int]]] = []
-        for t, f in zip(self.texts, self.scales):
-            d: dict[str, list[int]] = {}
-            k = int(SEED * f)
-            for p in range(len(t) - k + 1):
-                d.setdefault(t[p : p + k], []).append(p)
-            self.seeds.append(d)
-
-    def places_of_grams(self, texts: list[str]) -> list[tuple[int, int, int]]:
-        """(text, start, end) of the stretches of each text whose every GRAM characters stand in some item."""
+        self.seeds: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for k, (t, f) in enumerate(zip(self.texts, self.scales)):
+            at = self.seeds.setdefault(int(SEED * f), {})
+            for p, state in self.automaton.runs(t, int(SEED * f)):
+                at.setdefault(state, []).append((k, p))
+        self.grams = {w: self._grams([t for t, f in zip(self.texts, self.scales) if int(SEED * f) == w], w) for w in self.seeds}
+
+    @staticmethod
+    def _grams(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+        got = [_hashes(_codes(t), width) for t in texts]
+        grams = np.unique(np.concatenate(got)) if got else np.zeros(0, dtype=np.uint64)
+        bits = np.zeros(1 << 22, dtype=bool)
+        bits[(grams >> np.uint64(42)).astype(np.int64)] = True
+        return grams, bits
+
+    def places_of_grams(self, texts: list[str], width: int) -> list[tuple[int, int, int]]:
+        """(text, start, end) of the stretches of each text whose every ``width`` characters stand in some item."""
+        grams, bits = self.grams[width]
         joined = "\0".join(texts)
-        h = _hashes(_codes(joined), GRAM)
-        at = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
-        at = at[np.isin(h[at], self.grams)]
+        h = _hashes(_codes(joined), width)
+        at = np.flatnonzero(bits[(h >> np.uint64(42)).astype(np.int64)])
+        at = at[np.isin(h[at], grams)]
         if not len(at):
             return []
         first = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])[:-1]))
         new = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1)))
-        a, b = at[new], at[np.concatenate((new[1:] - 1, [len(at) - 1]))] + GRAM
+        a, b = at[new], at[np.concatenate((new[1:] - 1, [len(at) - 1]))] + width
         k = np.searchsorted(first, a, side="right") - 1
         return list(zip(k.tolist(), (a - first[k]).tolist(), (b - first[k]).tolist()))
 
-    def suspects(self, text: str, stretches: list[tuple[int, int]]) -> list[int]:
-        """The items of which matches that few items share, or long ones, make up a part worth a look."""
-        told: dict[int, int] = {}
+    def pairs(self, text: str, stretches: list[tuple[int, int]], width: int) -> dict[int, list[tuple[int, int]]]:
+        """By item: the places (in the text, in the item) of every seed that both have, in the text's order."""
+        out: dict[int, list[tuple[int, int]]] = {}
+        seeds = self.seeds[width]
         for a, b in stretches:
-            for end, n, s in self.automaton.longest(text[a:b]):
-                f = 1.0 if text[a + end - 1] >= "\u1100" else LETTER
-                if n < GRAM * f:
-                    continue
-                items = self.automaton.items[s]
-                if n >= LONG * f or items.bit_count() <= FEW:
-                    while items:
-                        k = (items & -items).bit_length() - 1
-                        items &= items - 1
-                        told[k] = told.get(k, 0) + n
-        return [k for k, n in told.items() if n >= PART * len(self.texts[k])]
-
-    def passages(self, text: str, item: int) -> list[tuple[int, int, int, int]]:
-        """(start, end, from, to): passages of the text and of the item that read alike, without overlap in the item."""
+            for i, s in self.automaton.runs(text[a:b], width):
+                for k, p in seeds.get(s, ()):
+                    out.setdefault(k, []).append((a + i, p))
+        return out
+
+    def suspect(self, item: int, pairs: list[tuple[int, int]], cover: float) -> bool:
+        """Whether passages made of these seeds can cover so much of the item: see the module."""
+        f = self.scales[item]
+        seed = int(SEED * f)
+        need = cover * len(self.texts[item]) * seed / (SKIP * f)
+        if len(pairs) * seed < need:
+            return False
+        ps = sorted({p for _, p in pairs})
+        return seed + sum(min(q - p, seed) for p, q in zip(ps, ps[1:])) >= need
+
+    def passages(self, item: int, pairs: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+        """(start, end, from, to): passages of the text and of the item that read alike."""
         f = self.scales[item]
         seed, skip, drift = int(SEED * f), SKIP * f, DRIFT * f
-        seeds, open_, done = self.seeds[item], [], []
-        for i in range(len(text) - seed + 1):
-            spots = seeds.get(text[i : i + seed])
-            if not spots:
-                continue
-            done += [c for c in open_ if i - c[1] > skip]
-            open_ = [c for c in open_ if i - c[1] <= skip]
-            for p in spots:
-                for c in reversed(open_):  # a chain near whose diagonal this seed lies
-                    if 0 < p - c[3] <= skip and abs((i - p) - (c[1] - c[3])) <= drift and i > c[1]:
-                        c[4] += min(p - c[3], seed)
-                        c[1], c[3] = i, p
-                        break
-                else:
-                    open_.append([i, i, p, p, seed])
+        open_, done, at = [], [], -1
+        for i, p in pairs:
+            if i != at:
+                done += [c for c in open_ if i - c[1] > skip]
+                open_ = [c for c in open_ if i - c[1] <= skip]
+                at = i
+            for c in reversed(open_):  # a chain near whose diagonal this seed lies
+                if 0 < p - c[3] <= skip and abs((i - p) - (c[1] - c[3])) <= drift and i > c[1]:
+                    c[4] += min(p - c[3], seed)
+                    c[1], c[3] = i, p
+                    break
+            else:
+                open_.append([i, i, p, p, seed])
         need = min(PASSAGE * f, len(self.texts[item]))
         runs = [(c[0], c[1] + seed, c[2], c[3] + seed, c[4]) for c in done + open_ if c[4] >= min(RUN * f, need)]
         row = _in_order(runs, seed)
@@ -273,15 +299,18 @@ def _cover(spans: list[tuple[int, int]]) -> int:
 def _scan(block: Block, docs: pd.DataFrame, cover: float) -> list[tuple]:
     raw = [t if isinstance(t, str) else "" for t in docs["text"]]
     texts = [normal(t) for t in raw]
-    by: dict[int, list[tuple[int, int]]] = {}
-    for k, a, b in block.places_of_grams(texts):
-        by.setdefault(k, []).append((a, b))
     ids, out = docs["doc_id"].to_numpy(), []
-    for k, stretches in by.items():
+    by: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for width in block.seeds:
+        for k, a, b in block.places_of_grams(texts, width):
+            by.setdefault((k, width), []).append((a, b))
+    for (k, width), stretches in by.items():
         where = None
-        for item in block.suspects(texts[k], stretches):
+        for item, pairs in block.pairs(texts[k], stretches, width).items():
+            if not block.suspect(item, pairs, cover):
+                continue
             n = len(block.texts[item])
-            got = block.passages(texts[k], item)
+            got = block.passages(item, pairs)
             share = _cover([(p, q) for _, _, p, q in got]) / n if n else 0.0
             if share >= cover:
                 where = where or places(raw[k])

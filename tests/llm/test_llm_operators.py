@@ -271,6 +271,20 @@ def test_leaks_of_half_in_blocks_runs_or_altered(spark):
     assert {r["doc_id"] for r in leaks.leaks(d, "doc_id", "text", q, "item_id", "text").collect()} == {1, 2, 3}
 
 
+def test_suspects_are_a_lower_bound():
+    rnd = random.Random(5)
+    words = ITEM.split() + OTHER.split()
+    block = leaks.Block([1, 2], [ITEM, OTHER])
+    for _ in range(400):
+        text = leaks.normal(" ".join(rnd.choice([ITEM, OTHER])[(a := rnd.randrange(60)) : a + rnd.randrange(4, 30)] if rnd.random() < 0.7 else rnd.choice(words) for _ in range(8)))
+        every = {i for i in range(len(text) - 4) if any(text[i : i + 5] in t for t in block.texts)}
+        assert {i for i, _ in block.automaton.runs(text, 5)} == every
+        for k, pairs in block.pairs(text, [(0, len(text))], 5).items():
+            assert all(text[i : i + 5] == block.texts[k][p : p + 5] for i, p in pairs)
+            share = leaks._cover([(p, q) for _, _, p, q in block.passages(k, pairs)]) / len(block.texts[k])
+            assert block.suspect(k, pairs, share)
+
+
 # --- problem 8 ---------------------------------------------------------------------------------------------------------
 def test_mix_reaches_targets(spark):
     rnd = random.Random(4)
