@@ -138,7 +138,8 @@ def greedy_round_robin(df: DataFrame, c: str, text: str, source: str, score: str
 
 def greedy_unique(df: DataFrame, c: str, source: str, text: str) -> DataFrame:
     """(source, id): sources with the fewest different texts first; each takes its rarest, then longest, text no other source took."""
-    rows = df.select(F.col(c).alias("id"), F.col(source).alias("source"), F.col(text).alias("text")).distinct()
+    # Of equal texts of a source only the least id can be taken.
+    rows = df.select(F.col(c).alias("id"), F.col(source).alias("source"), F.col(text).alias("text")).groupBy("source", "text").agg(F.min("id").alias("id"))
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         freq = p.groupby("text")["source"].nunique().to_dict()

@@ -159,3 +159,10 @@ def test_layout(spark):
 def test_numbers_past_the_width_are_whole(spark):
     got = W.numbered(spark.range(1_000_003), ["id"], "number").filter("id >= 999998 OR id = 0").orderBy("id")
     assert [r[1] for r in got.collect()] == ["000001", "999999", "1000000", "1000001", "1000002", "1000003"]
+
+
+def test_greedy_unique_needs_room_for_different_texts_only(spark, monkeypatch):
+    one = Q._one_group
+    monkeypatch.setattr(Q, "_one_group", lambda rows, run, schema: one(rows, run, schema, most=10))
+    d = spark.range(5, 205).selectExpr("id", "concat('s', id % 2) AS source", "concat('t', id % 4) AS text")
+    assert {(r["source"], r["id"]) for r in Q.greedy_unique(d, "id", "source", "text").collect()} == {("s0", 8), ("s1", 5)}
