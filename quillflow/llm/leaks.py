@@ -1,22 +1,24 @@
 """Problem 7: evaluation texts leaking into training text.
 
-All items of a block go into one generalised suffix automaton over their normalised characters (one character form,
-no case, blanks or punctuation, so that line breaks, spacing and spelling forms do not matter). Documents are
-streamed past it: rolling hashes of ``SEED`` characters, computed for a whole batch at once, tell where a document can
-match at all, and there the automaton yields the state of every seed and so its places in the items.
-A suspect is an item of which seeds cover so much that its passages can cover ``COVER``: passages skip at most ``SKIP``
-characters at a time, so they cover at most SKIP / SEED of what their seeds cover, and no item is passed over that the
-alignment would find. A suspect is settled by its passages: seeds are chained along near diagonals, so single altered
-words or characters do not break a passage. Passages longer than what templates and common phrases share count, shorter
-ones where ``SEVERAL`` stand in the item's own order, and a document leaks an item whose
-passages cover ``COVER`` of it. ``spans`` gives the raw character ranges, ``without_spans`` the texts less them.
-
-The items are a stated query set: they are read in blocks of at most ``block_chars`` characters, and only one
-block's automaton is broadcast at a time, so its size is bounded whatever the set.
+All items of a block go into generalised suffix automata over their normalised characters (one character form, no case,
+blanks or punctuation, so that line breaks, spacing and spelling forms do not matter), one per kind of script. Every
+document is streamed past them whole, character by character, and the longest matching length is tracked at each place. Where it
+reaches ``SEED``, the suffix links lead to the state of the last ``SEED`` characters, whose range of end places names every
+item that has them, not just the one that matches longest; the matches that neither end carries on are each item's own longest
+matches, in pairs of ranges.
+
+An item's matches are chained along near diagonals into passages, so single altered words or characters do not break a
+passage. Passages longer than what templates and common phrases share count, shorter ones where ``SEVERAL`` stand in the item's
+own order, and a document leaks an item whose passages cover ``COVER`` of it. Passages skip at most SKIP - SEED
+characters between matches, and matches further apart in the document join none: items whose matches cannot reach ``COVER`` by these
+bounds are left out before they are chained, and none is passed over. ``spans`` gives the raw character ranges, ``without_spans`` the texts less them.
+
+The items are a stated query set: they are read in blocks of at most ``block_chars`` characters, ``AT_ONCE`` of which are broadcast
+for one scan of the documents, so what is broadcast is bounded whatever the set (some 25 MB a block of 200,000 characters).
 
 Edge cases: null, empty and blank texts neither leak nor hold anything; items shorter than ``PASSAGE`` must stand in the
-document whole; repeated items and documents each get their own rows; very long texts are streamed whole; extra columns
-are ignored.
+document whole, and those shorter than ``SEED`` are never found; repeated items and documents each get their own rows; very long
+texts are streamed whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ LETTER = 2.5
 SKIP, DRIFT = 14, 6
 #: Half of the item.
 COVER = 0.5
+#: Blocks of items for one scan; most pairs of places held at a time; characters of documents worked on at a time.
+AT_ONCE, PAIRS, CHARS = 4, 2_000_000, 200_000
 FOUND = T.StructType(
     [
         T.StructField("item_id", T.LongType()),
@@ -51,10 +55,9 @@ FOUND = T.StructType(
     ]
 )
 #: Texts of these alone need no other form: what is no letter or digit among them falls away.
-_settled = re.compile("[\x00-\x7f가-힣ㄱ-ㆎ“”‘’…·—–©「」『』]*").fullmatch
+_settled = re.compile("[\x00-\x7f가-힣ㄱ-ㅎㅏ-ㅣ“”‘’…·—–©「」『』]*").fullmatch
 _other = re.compile(r"[\W_]+").sub
 _cluster = re.compile("[ᄀ-ᅟ][ᅠ-ᆧ]?[ᆨ-ᇿ]?|.[̀-ͯ]*", re.S).finditer
-_B = np.uint64(0x9E3779B97F4A7C15)
 
 
 def scale(text: str) -> float:
@@ -82,18 +85,22 @@ def places(text: str) -> tuple[str, list[int], list[int]]:
 
 
 class Automaton:
-    """Generalised suffix automaton; every state knows the items it occurs in, as the bits of a number."""
+    """Generalised suffix automaton; every state knows the range of its end places in the texts."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], width: int):
         self.next: list[dict[str, int]] = [{}]
-        self.link, self.length, self.items = [-1], [0], [0]
-        for k, t in enumerate(texts):
+        self.link, self.length = [-1], [0]
+        state, place, at = [], [], 1
+        for t in texts:
             last = 0
             for c in t:
                 last = self._add(last, c)
-                self.items[last] |= 1 << k
-        for s in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
-            self.items[self.link[s]] |= self.items[s]
+                state.append(last)
+                place.append(at)
+                at += 1
+            at += 1  # a sign between texts
+        self._range(np.array(state, dtype=np.int64), np.array(place, dtype=np.int64))
+        self._loci(width)
 
     def _add(self, last: int, c: str) -> int:
         if c in self.next[last]:
@@ -113,7 +120,6 @@ class Automaton:
         self.next.append(nxt)
         self.length.append(length)
         self.link.append(link)
-        self.items.append(0)
         return len(self.next) - 1
 
     def _split(self, p: int, c: str, q: int) -> int:
@@ -124,140 +130,192 @@ class Automaton:
             p = self.link[p]
         return new
 
-    def longest(self, text: str) -> Iterator[tuple[int, int, int]]:
-        """(end, length, state) of each longest match that does not go on at the next character."""
-        s = n = 0
-        for i, c in enumerate(text):
-            if n and c not in self.next[s]:
-                yield i, n, s
-            while s and c not in self.next[s]:
-                s = self.link[s]
-                n = self.length[s]
-            if c in self.next[s]:
-                s = self.next[s][c]
-                n += 1
-            else:
-                n = 0
-        if n:
-            yield len(text), n, s
-
-
-    def runs(self, text: str, width: int) -> Iterator[tuple[int, int]]:
-        """(start, state) of every ``width`` characters that stand in some item."""
+    def _range(self, state: np.ndarray, place: np.ndarray) -> None:
+        """``ends``: all places in an order in which those below a state in the tree of links stand together, from ``lo`` to ``hi``."""
+        n = len(self.next)
+        own = np.bincount(state, minlength=n)
+        size, link = own.copy(), self.link
+        order = sorted(range(1, n), key=self.length.__getitem__)
+        for v in reversed(order):
+            size[link[v]] += size[v]
+        lo, used = np.zeros(n, dtype=np.int64), own.copy()
+        for v in order:  # each state's own places first, then its children's, one after another
+            up = link[v]
+            lo[v] = lo[up] + used[up]
+            used[up] += size[v]
+        first = lo[state]
+        by = np.argsort(first, kind="stable")
+        rank = np.arange(len(by)) - np.searchsorted(first[by], first[by])
+        self.ends = np.zeros(len(place), dtype=np.int64)
+        self.ends[first[by] + rank] = place[by]
+        self.lo, self.hi = lo, lo + size
+
+    def _loci(self, width: int) -> None:
+        """The state of the last ``width`` characters of whatever a state stands for; -1 for shorter ones."""
+        self.width = width
+        locus = [-1] * len(self.next)
+        for v in sorted(range(1, len(self.next)), key=self.length.__getitem__):
+            if self.length[v] >= width:
+                up = self.link[v]
+                locus[v] = v if self.length[up] < width else locus[up]
+        self.locus = np.array(locus, dtype=np.int64)
+
+    def __getstate__(self):
+        """Transitions as flat arrays, which are smaller and quicker to send."""
+        rest = {k: v for k, v in self.__dict__.items() if k != "next"}
+        count = np.array([len(d) for d in self.next], dtype=np.int32)
+        signs = "".join(c for d in self.next for c in d)
+        return rest, count, signs, np.array([t for d in self.next for t in d.values()], dtype=np.int32)
+
+    def __setstate__(self, got) -> None:
+        rest, count, signs, to = got
+        self.__dict__.update(rest)
+        to, at, self.next = to.tolist(), 0, []
+        for n in count.tolist():
+            self.next.append(dict(zip(signs[at : at + n], to[at : at + n])))
+            at += n
+
+    def stream(self, text: str, width: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(end, length, state) of the longest match at each place where it is at least ``width`` (the automaton's own)."""
+        width = width or self.width
         nxt, link, length = self.next, self.link, self.length
-        s = n = 0
-        for i, c in enumerate(text):
-            while s and c not in nxt[s]:
-                s = link[s]
-                n = length[s]
-            if c in nxt[s]:
-                s = nxt[s][c]
-                n += 1
-            else:
-                n = 0
-            while n > width and length[link[s]] >= width:  # the state of the last ``width`` alone
-                s = link[s]
-                n = length[s]
-            if n >= width:
-                yield i - width + 1, s
-
-
-def _hashes(a: np.ndarray, gram: int) -> np.ndarray:
-    """Hash of the ``gram`` characters from each place on."""
-    n = max(len(a) - gram + 1, 0)
-    h = np.zeros(n, dtype=np.uint64)
-    if not n:
-        return h
-    with np.errstate(over="ignore"):
-        for j in range(gram):
-            h = h * _B + a[j : j + n]
-        return h ^ (h >> np.uint64(29))
+        ends, lengths, states = [], [], []
+        known = re.compile("[" + "".join(map(re.escape, nxt[0])) + "]{%d,}" % width) if nxt[0] else re.compile("(?!)")
+        for stretch in known.finditer(text):  # characters of no item end every match
+            s = n = 0
+            for i, c in enumerate(stretch.group(), stretch.start() + 1):
+                t = nxt[s].get(c)
+                if t is None:
+                    while s:
+                        s = link[s]
+                        t = nxt[s].get(c)
+                        if t is not None:
+                            n = length[s] + 1
+                            s = t
+                            break
+                    else:
+                        n = 0
+                        continue
+                else:
+                    s = t
+                    n += 1
+                if n >= width:
+                    ends.append(i)
+                    lengths.append(n)
+                    states.append(s)
+        return np.array(ends, dtype=np.int64), np.array(lengths, dtype=np.int64), np.array(states, dtype=np.int64)
 
 
 def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-
-
-class Block:
-    """One block of items, ready to be broadcast."""
-
-    def __init__(self, ids: list[int], texts: list[str]):
-        self.ids, self.texts = ids, [normal(t) for t in texts]
-        self.automaton = Automaton(self.texts)
-        self.scales = [scale(t) for t in self.texts]
-        self.seeds: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        for k, (t, f) in enumerate(zip(self.texts, self.scales)):
-            at = self.seeds.setdefault(int(SEED * f), {})
-            for p, state in self.automaton.runs(t, int(SEED * f)):
-                at.setdefault(state, []).append((k, p))
-        self.grams = {w: self._grams([t for t, f in zip(self.texts, self.scales) if int(SEED * f) == w], w) for w in self.seeds}
-
-    @staticmethod
-    def _grams(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
-        got = [_hashes(_codes(t), width) for t in texts]
-        grams = np.unique(np.concatenate(got)) if got else np.zeros(0, dtype=np.uint64)
-        bits = np.zeros(1 << 22, dtype=bool)
-        bits[(grams >> np.uint64(42)).astype(np.int64)] = True
-        return grams, bits
-
-    def places_of_grams(self, texts: list[str], width: int) -> list[tuple[int, int, int]]:
-        """(text, start, end) of the stretches of each text whose every ``width`` characters stand in some item."""
-        grams, bits = self.grams[width]
-        joined = "\0".join(texts)
-        h = _hashes(_codes(joined), width)
-        at = np.flatnonzero(bits[(h >> np.uint64(42)).astype(np.int64)])
-        at = at[np.isin(h[at], grams)]
-        if not len(at):
-            return []
-        first = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])[:-1]))
-        new = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1)))
-        a, b = at[new], at[np.concatenate((new[1:] - 1, [len(at) - 1]))] + width
-        k = np.searchsorted(first, a, side="right") - 1
-        return list(zip(k.tolist(), (a - first[k]).tolist(), (b - first[k]).tolist()))
-
-    def pairs(self, text: str, stretches: list[tuple[int, int]], width: int) -> dict[int, list[tuple[int, int]]]:
-        """By item: the places (in the text, in the item) of every seed that both have, in the text's order."""
-        out: dict[int, list[tuple[int, int]]] = {}
-        seeds = self.seeds[width]
-        for a, b in stretches:
-            for i, s in self.automaton.runs(text[a:b], width):
-                for k, p in seeds.get(s, ()):
-                    out.setdefault(k, []).append((a + i, p))
-        return out
-
-    def suspect(self, item: int, pairs: list[tuple[int, int]], cover: float) -> bool:
-        """Whether passages made of these seeds can cover so much of the item: see the module."""
-        f = self.scales[item]
-        seed = int(SEED * f)
-        need = cover * len(self.texts[item]) * seed / (SKIP * f)
-        if len(pairs) * seed < need:
-            return False
-        ps = sorted({p for _, p in pairs})
-        return seed + sum(min(q - p, seed) for p, q in zip(ps, ps[1:])) >= need
-
-    def passages(self, item: int, pairs: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-        """(start, end, from, to): passages of the text and of the item that read alike."""
-        f = self.scales[item]
-        seed, skip, drift = int(SEED * f), SKIP * f, DRIFT * f
-        open_, done, at = [], [], -1
-        for i, p in pairs:
-            if i != at:
+    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+
+
+class Group:
+    """The items of one kind of script, by number, with their automaton."""
+
+    def __init__(self, items: list[tuple[int, str]], factor: float):
+        self.ids, self.texts, self.factor = [i for i, _ in items], [t for _, t in items], factor
+        self.width = int(SEED * factor)
+        self.gap = SKIP * factor - self.width  # the most that a passage skips between two matches
+        self.automaton = Automaton(self.texts, self.width)
+        self.codes = _codes("\1" + "".join(t + "\1" for t in self.texts))
+        self.first = np.cumsum([1] + [len(t) + 1 for t in self.texts])[:-1]
+        self.item = np.repeat(np.arange(len(self.texts)), [len(t) + 1 for t in self.texts])
+
+    def matches(self, joined: str) -> np.ndarray:
+        """Columns (start, place, length): every item's own longest matches of at least ``width`` in a text that begins and ends with a sign of no item."""
+        a, w = self.automaton, self.width
+        end, _, state = a.stream(joined)
+        if not len(end):
+            return np.zeros((0, 3), dtype=np.int64)
+        codes, locus = _codes(joined), a.locus[state]
+        count = a.hi[locus] - a.lo[locus]
+        total = np.concatenate(([0], np.cumsum(count)))
+        begun, k = [], 0
+        while k < len(end):  # so many windows at a time that the pairs of places stay bounded
+            to = max(k + 1, int(np.searchsorted(total, total[k] + PAIRS, side="right")) - 1)
+            c = count[k:to]
+            i = np.repeat(end[k:to] - w, c)
+            p = a.ends[np.repeat(a.lo[locus[k:to]] - (total[k:to] - total[k]), c) + np.arange(len(i))] - w + 1
+            new = codes[i - 1] != self.codes[p - 1]
+            begun.append(np.stack((i[new], p[new]), axis=1))
+            k = to
+        b = np.concatenate(begun)
+        size, more = np.full(len(b), w), np.arange(len(b))
+        while len(more):  # signs between texts end every match
+            more = more[codes[b[more, 0] + size[more]] == self.codes[b[more, 1] + size[more]]]
+            size[more] += 1
+        return np.column_stack((b, size))
+
+    def passages(self, item: int, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """(start, end, from, to): passages of the text and of the item that read alike, from its matches (start, place, length) in the text's order."""
+        seed, skip, drift = self.width, SKIP * self.factor, DRIFT * self.factor
+        open_, done = [], []
+        for i, p, n in matches:
+            if open_:
                 done += [c for c in open_ if i - c[1] > skip]
                 open_ = [c for c in open_ if i - c[1] <= skip]
-                at = i
-            for c in reversed(open_):  # a chain near whose diagonal this seed lies
-                if 0 < p - c[3] <= skip and abs((i - p) - (c[1] - c[3])) <= drift and i > c[1]:
-                    c[4] += min(p - c[3], seed)
-                    c[1], c[3] = i, p
+            for c in reversed(open_):  # a chain near whose diagonal this match lies; c: start, last seed, from, last seed's place, weight
+                t = max(0, c[1] + 1 - i, c[3] + 1 - p)
+                if t <= n - seed and i + t - c[1] <= skip and p + t - c[3] <= skip and abs((i - p) - (c[1] - c[3])) <= drift:
+                    c[4] += min(p + t - c[3], seed) + n - t - seed
+                    c[1], c[3] = i + n - seed, p + n - seed
                     break
             else:
-                open_.append([i, i, p, p, seed])
-        need = min(PASSAGE * f, len(self.texts[item]))
-        runs = [(c[0], c[1] + seed, c[2], c[3] + seed, c[4]) for c in done + open_ if c[4] >= min(RUN * f, need)]
+                open_.append([i, i + n - seed, p, p + n - seed, n])
+        need = min(PASSAGE * self.factor, len(self.texts[item]))
+        runs = [(c[0], c[1] + seed, c[2], c[3] + seed, c[4]) for c in done + open_ if c[4] >= min(RUN * self.factor, need)]
         row = _in_order(runs, seed)
         kept = {r for r in runs if r[4] >= need} | set(row if len(row) >= SEVERAL else [])
         return [r[:4] for r in sorted(kept)]
 
+    def leaked(self, texts: list[str], cover: float) -> Iterator[tuple[int, int, float, list[tuple[int, int, int, int]]]]:
+        """(text, item, share, passages) of each text that holds enough of an item."""
+        m = self.matches("\0" + "".join(t + "\0" for t in texts))
+        if not len(m):
+            return
+        first = np.cumsum([1] + [len(t) + 1 for t in texts])[:-1]
+        d, k = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])[m[:, 0] - 1], self.item[m[:, 1] - 1]
+        m = m - np.stack((first[d], self.first[k], np.zeros(len(m), dtype=np.int64)), axis=1)
+        key = d * len(self.texts) + k
+        size = np.array([len(t) for t in self.texts])
+        # What passages of these matches can cover at most: their lengths and what may be skipped between them ...
+        bound = np.bincount(key, weights=m[:, 2] + self.gap) - self.gap
+        some = np.flatnonzero((bound >= cover * size[np.arange(len(bound)) % len(size)])[key])
+        some = some[np.lexsort((m[some, 1], m[some, 0], key[some]))]
+        if not len(some):
+            return
+        # ... and nearer: only where matches that a passage can join weigh as much as the least passage that counts.
+        ks, i, n = key[some], m[some, 0], m[some, 2]
+        far = np.maximum.accumulate(ks * (1 << 40) + i + n - self.width) - ks * (1 << 40)  # the last seed so far of the same pair
+        new = np.concatenate(([True], (np.diff(ks) > 0) | (i[1:] - far[:-1] > SKIP * self.factor)))
+        part = np.cumsum(new) - 1
+        weight = np.bincount(part, weights=n)
+        most = np.bincount(part, weights=n + self.gap) - self.gap
+        most[weight < np.minimum(RUN * self.factor, size[ks[new] % len(self.texts)])] = 0
+        pair, of = np.unique(ks, return_inverse=True)
+        bound = np.bincount(of[new], weights=most)
+        some = some[(bound >= cover * size[pair % len(self.texts)])[of] & (most > 0)[part]]
+        edge = np.flatnonzero(np.concatenate(([True], np.diff(key[some]) > 0, [True]))) if len(some) else []
+        for a, b in zip(edge[:-1], edge[1:]):
+            item = int(k[some[a]])
+            own = list(map(tuple, m[some[a:b]].tolist()))
+            got = self.passages(item, own)
+            share = _cover([(p, q) for _, _, p, q in got]) / len(self.texts[item])
+            if share >= cover:
+                yield int(d[some[a]]), item, share, got
+
+
+class Block:
+    """One block of items, ready to be broadcast."""
+
+    def __init__(self, ids: list[int], texts: list[str]):
+        by: dict[float, list[tuple[int, str]]] = {}
+        for i, t in zip(ids, map(normal, texts)):
+            if t:
+                by.setdefault(scale(t), []).append((i, t))
+        self.groups = [Group(v, f) for f, v in by.items()]
+
 
 def _in_order(runs: list[tuple[int, int, int, int, int]], lap: int) -> list[tuple[int, int, int, int, int]]:
     """The heaviest runs (start, end, from, to, weight) that follow each other in the text and in the item, there with at most ``lap`` shared."""
@@ -296,30 +354,32 @@ def _cover(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def _scan(block: Block, docs: pd.DataFrame, cover: float) -> list[tuple]:
+def _scan(blocks: list[Block], docs: pd.DataFrame, cover: float) -> list[tuple]:
     raw = [t if isinstance(t, str) else "" for t in docs["text"]]
-    texts = [normal(t) for t in raw]
-    ids, out = docs["doc_id"].to_numpy(), []
-    by: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for width in block.seeds:
-        for k, a, b in block.places_of_grams(texts, width):
-            by.setdefault((k, width), []).append((a, b))
-    for (k, width), stretches in by.items():
-        where = None
-        for item, pairs in block.pairs(texts[k], stretches, width).items():
-            if not block.suspect(item, pairs, cover):
-                continue
-            n = len(block.texts[item])
-            got = block.passages(item, pairs)
-            share = _cover([(p, q) for _, _, p, q in got]) / n if n else 0.0
-            if share >= cover:
-                where = where or places(raw[k])
-                spans = sorted({(where[1][a], where[2][b - 1]) for a, b, _, _ in got if b <= len(where[0])})
-                out.append((block.ids[item], int(ids[k]), float(share), len(got), [{"start": a, "end": b} for a, b in spans]))
+    texts, ids, out = [normal(t) for t in raw], docs["doc_id"].to_numpy(), []
+    where: dict[int, tuple[str, list[int], list[int]]] = {}
+    for g in (g for b in blocks for g in b.groups):
+        for k, item, share, got in g.leaked(texts, cover):
+            if k not in where:
+                where[k] = places(raw[k])
+            spans = sorted({(where[k][1][a], where[k][2][b - 1]) for a, b, _, _ in got if b <= len(where[k][0])})
+            out.append((g.ids[item], int(ids[k]), float(share), len(got), [{"start": a, "end": b} for a, b in spans]))
     return out
 
 
-def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, cover: float = COVER, block_chars: int = 2_000_000) -> DataFrame:
+def _slices(texts: pd.Series) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``CHARS`` characters; a longer text is a range of its own."""
+    a = n = 0
+    for k, t in enumerate(texts):
+        n += len(t) if isinstance(t, str) else 0
+        if n >= CHARS:
+            yield a, k + 1
+            a, n = k + 1, 0
+    if a < len(texts):
+        yield a, len(texts)
+
+
+def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, cover: float = COVER, block_chars: int = 200_000) -> DataFrame:
     """(item_id, doc_id, coverage, passages, spans) of every document that holds enough of an item."""
     spark = documents.sparkSession
     docs = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -327,16 +387,17 @@ def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     chars = q.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     out = None
-    for b in range(blocks):
-        part = q.filter(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == b).collect()
-        part = [(r["id"], r["t"]) for r in part if normal(r["t"])]
-        shared = spark.sparkContext.broadcast(Block([r[0] for r in part], [r[1] for r in part]))
+    for first in range(0, blocks, AT_ONCE):
+        shared = []
+        for b in range(first, min(blocks, first + AT_ONCE)):
+            part = q.filter(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == b).collect()
+            shared.append(spark.sparkContext.broadcast(Block([r["id"] for r in part], [r["t"] for r in part])))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 got = []
-                for a in range(0, len(pdf), 500):
-                    got += _scan(shared.value, pdf.iloc[a : a + 500], cover)
+                for a, b in _slices(pdf["text"]):
+                    got += _scan([x.value for x in shared], pdf.iloc[a:b], cover)
                 yield pd.DataFrame(got, columns=FOUND.names)
 
         df = docs.mapInPandas(run, FOUND)
