@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillflow.functions.text import id_form
-from quillflow.llm.overlaps import overlaps
+from quillflow.llm.overlaps import Overlaps, expand, overlaps
 from quillflow.plans.registry import Registry
-from quillflow.session import table
+from quillflow.session import Workspace, table
 
 R = Registry()
 
 
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+def _overlaps(spark: SparkSession, sf: str) -> Overlaps:
     e = table(spark, sf, "benchmark_manifest").select("row_id", "ground_truth", "corrected_text", "image_sha256", "source_sid")
     t = table(spark, sf, "training_manifest").select("row_id", "target", "corrected_text", "image_sha256", "source_sid")
     digest = F.regexp_replace(id_form("image_sha256"), "^sha-?256-", "")  # some are written with their kind
@@ -23,14 +23,39 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add("p3_found")
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    p = _pairs(spark, sf).select("row_e", "row_t").distinct()
+    p = expand(_overlaps(spark, sf)).select("row_e", "row_t").distinct()
     return p.select(F.least("row_e", "row_t").alias("row_id_a"), F.greatest("row_e", "row_t").alias("row_id_b"))
 
 
+@R.add("p3_links")
+def p3_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Links between classes, each named by its least row."""
+    return _overlaps(spark, sf).links
+
+
+@R.add("p3_members")
+def p3_members(spark: SparkSession, sf: str) -> DataFrame:
+    """The class of each row by each kind of key, and how many classes of the other side that class is linked to."""
+    o = _overlaps(spark, sf)
+    by = F.when(F.col("kind") == "near_text", "text").otherwise(F.col("kind"))
+    n = F.count("*").alias("n_links")
+    links = o.links.groupBy(F.lit("e").alias("side"), by.alias("kind"), F.col("rep_e").alias("rep")).agg(n).unionByName(o.links.groupBy(F.lit("t").alias("side"), by.alias("kind"), F.col("rep_t").alias("rep")).agg(n))
+    return o.members.join(links.hint("merge"), ["side", "kind", "rep"], "left").select("side", "kind", "row", "rep", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 @R.add("p3_report")
 def p3_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Evaluation rows that overlap with training, per split, source and kind of overlap."""
-    e = table(spark, sf, "benchmark_manifest").select(F.col("row_id").alias("row_e"), "source_split", "source")
-    p = _pairs(spark, sf)
-    kinds = p.groupBy("row_e", "kind").agg(F.count("*").alias("pairs")).unionByName(p.groupBy("row_e").agg(F.count_distinct("row_t").alias("pairs")).withColumn("kind", F.lit("any")).select("row_e", "kind", "pairs"))
-    return kinds.join(e, "row_e").groupBy("source_split", "source", "kind").agg(F.count("*").alias("n_rows"), F.sum("pairs").alias("n_pairs"))
+    """Evaluation rows that overlap with training, per split, source and kind of overlap, and the training rows that they meet, once for each
+    pair of texts or keys; ``any`` counts a row once. Counted by class: no pair of rows is built."""
+    o = _overlaps(spark, sf)
+    e = table(spark, sf, "benchmark_manifest").select(F.col("row_id").alias("row"), "source_split", "source")
+    by = F.when(F.col("kind") == "near_text", "text").otherwise(F.col("kind")).alias("by")
+    size = o.members.filter("side = 't'").groupBy(F.col("kind").alias("by"), F.col("rep").alias("rep_t")).agg(F.count("*").alias("n"))
+    met = o.links.withColumn("by", by).join(size.hint("merge"), ["by", "rep_t"]).groupBy("by", "kind", F.col("rep_e").alias("rep")).agg(F.sum("n").alias("n"))
+    mine = o.members.filter("side = 'e'").select(F.col("kind").alias("by"), "rep", "row")
+    rows = met.join(mine.hint("merge"), ["by", "rep"]).groupBy("row", "kind").agg(F.sum("n").alias("n"))
+    rows = rows.join(e.hint("merge"), "row")
+    rows = Workspace(spark, "report").save(rows, "rows")
+    one = rows.groupBy("source_split", "source", "kind").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_pairs"))
+    whole = rows.groupBy("row", "source_split", "source").agg(F.sum("n").alias("n")).groupBy("source_split", "source").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_pairs"))
+    return one.unionByName(whole.withColumn("kind", F.lit("any")))
