@@ -1,11 +1,11 @@
 """Problem 2: broken prompt and response pairs.
 
-Shortened versions are found by sorting: all answers and references, without blanks and punctuation, form
-one list of different texts; within the list's order each text is compared with its successor, and one whose
-common prefix with a longer successor covers most of it is a shortened version. Lengths at which far more answers
-end than at the lengths around them (length-limit spikes) give further suspects, as do answers much shorter than
-their own reference, which sorting cannot bring beside it when their first words are misread. Every suspect is then
-aligned with its own reference by dynamic programming over all prefixes: it counts as truncated if it reads like a
+Shortened versions are found by sorting: all answers and references, without punctuation, stand in one list of different
+texts, once from each of their first ``STARTS`` words on, so that a misread beginning does not keep them apart. In the list's order
+each answer is compared with its nearest finished neighbours (references and answers that end like a sentence) on either side; one that
+shares its first ``lead`` letters with a longer neighbour may be a shortened version. Lengths at which far more answers
+end than at the lengths around them (length-limit spikes) give further suspects. A suspect that is short enough is then
+aligned with its own reference by banded dynamic programming over all prefixes: it counts as truncated if it reads like a
 beginning of the reference and at least ``unwritten`` of the reference is missing behind it.
 Copy, refusal and language rules follow for answers that do not read like the reference.
 
@@ -18,6 +18,9 @@ table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
+import os
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,6 +41,10 @@ POLITE_KO = r"(니다|어요|아요|네요|세요|까요|군요|죠|드립니다
 CANNOT_EN = r"(?i)\b(can ?not|can['’]?t|could ?n['’]?t|could not|unable|not able|won['’]?t|will not|not (possible|permitted|allowed)|do(es)? ?n['’]?t|do not|refuse|decline|no (image|text|handwriting))\b"
 ABOUT_EN = r"(?i)\b(image|picture|photo|handwrit\w*|text|line|page|pages|file|request|task|help|assist|read|transcribe|decipher|process|make out|recogni[sz]e|language model|AI|see|view)\b"
 SELF_EN = r"(?i)(\bI\b|\bI['’](m|ll|ve)|\bsorry\b|\bapologi[sz]e|\bunfortunately\b|\blanguage model\b|\bassistant\b)"
+#: A sentence's end; dots that trail off are none.
+END = r"(?<![.…])[.!?。！？][\s\p{P}&&[^.…]]*$"
+#: From how many of their first words on texts are sorted; texts that split the order into ranges.
+STARTS, POINTS = 4, 4_000
 #: Words that carry no content, by language; enough to tell languages of one script apart.
 FUNCTION_WORDS = {
     "en": "the of and a an to in on at by near behind before after beyond opposite inside with was is are were that this it his her my our their your one two for from while during",
@@ -89,18 +96,62 @@ def language(c: Column) -> Column:
     )
 
 
-def shortened(texts: DataFrame, text: str, lead: int = 6, cover: float = 0.8) -> DataFrame:
-    """Different texts (column ``text``) that are the beginning of a longer one next to them in sorted order.
+def _from_word(c: Column, n: int) -> Column:
+    """Letters, digits and marks from the n-th word on; '' if there are fewer."""
+    return compact(F.regexp_replace(c, r"^\s*(\S+(\s+|$)){%d}" % n, "") if n else c)
+
+
+@F.pandas_udf(T.IntegerType())
+def _common(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the common prefix; 0 for null."""
+    return pd.Series([len(os.path.commonprefix((x, y))) if isinstance(x, str) and isinstance(y, str) else 0 for x, y in zip(a, b)], dtype="int32")
+
+
+def _buckets(listed: DataFrame, per: int) -> tuple[DataFrame, int]:
+    """The list with ranges of its order as ``bucket``. The split points come from a sample of ``POINTS`` texts and only spread the work."""
+    n = listed.count()
+    k = min(POINTS // 8, -(-n // per))
+    if k < 2:
+        return listed.withColumn("bucket", F.lit(0)), 1
+    some = sorted(r["t"] for r in listed.select(F.substring("t", 1, 64).alias("t"), F.xxhash64("t").alias("h")).orderBy("h").limit(POINTS).collect())
+    points = sorted({some[i * len(some) // k] for i in range(1, k)})
+
+    @F.pandas_udf(T.IntegerType())
+    def at(t: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_right(points, x) for x in t], dtype="int32")
+
+    return listed.withColumn("bucket", at(F.col("t"))), len(points) + 1
+
+
+def neighbours(listed: DataFrame, ws: Workspace, per: int = 10_000) -> DataFrame:
+    """(t, before, after) of each different text ``t``: the nearest texts with ``whole`` on either side of it in sorted order.
 
-    The texts are ordered within their first ``lead`` characters, so a text and any longer version of it meet in one
-    window; a text that is a beginning of others has one of them as its very successor.
+    Ranges of the order are sorted each on its own, and what stands before and after a range is carried into it, so no opening,
+    however common, makes a task larger.
     """
-    t = texts.select(F.col(text).alias("t")).filter(F.length("t") > 0).distinct()
-    w = Window.partitionBy(F.substring("t", 1, lead)).orderBy("t")
-    n = t.withColumn("next", F.lead("t").over(w)).filter(F.col("next").isNotNull() & (F.length("next") * 3 >= F.length("t") * 4))
-    odd = F.filter(F.sequence(F.lit(1), F.length("t")), lambda i: F.substring("t", i, F.lit(1)) != F.substring("next", i, F.lit(1)))
-    common = F.when(F.col("next").startswith(F.col("t")), F.length("t")).otherwise(F.array_min(odd) - 1)
-    return n.withColumn("common", common).filter(F.col("common") >= F.length("t") * cover).select(F.col("t").alias(text))
+    one = ws.save(listed.groupBy("t").agg(F.max("whole").alias("whole")), "listed")
+    one, n = _buckets(one, per)
+    one = one.withColumn("w", F.when(F.col("whole"), F.col("t")))
+    up = Window.partitionBy("bucket").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("bucket").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
+    near = one.withColumn("before", F.max("w").over(up)).withColumn("after", F.min("w").over(down))
+    if n > 1:
+        ends = one.groupBy("bucket").agg(F.max("w").alias("last"), F.min("w").alias("first"))  # a row per bucket
+        left, right = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select("bucket", F.max("last").over(left).alias("carried"), F.min("first").over(right).alias("ahead"))
+        near = near.join(F.broadcast(ends), "bucket").select("t", F.coalesce("before", "carried").alias("before"), F.coalesce("after", "ahead").alias("after"))
+    return near.select("t", "before", "after")
+
+
+def shortened(texts: DataFrame, key: str, text: str, whole: str, lead: int = 3, ws: Workspace | None = None) -> DataFrame:
+    """Keys of texts that share their beginning, from one of their first words on, with a longer neighbour in sorted order that is ``whole``."""
+    ws = ws or Workspace(texts.sparkSession, "sorted")
+    starts = F.array_distinct(F.array(*(_from_word(F.col(text), n) for n in range(STARTS))))
+    at = texts.select(F.col(key).alias("k"), F.explode(starts).alias("t"), F.col(whole).alias("whole")).filter(F.length("t") >= lead)
+    near = neighbours(at, ws)
+    shares = lambda n: (F.length(n) > F.length("t")) & (_common(F.col("t"), F.col(n)) >= lead)
+    short = near.filter(F.coalesce(shares("before"), F.lit(False)) | F.coalesce(shares("after"), F.lit(False))).select("t")
+    return at.filter("k IS NOT NULL").join(short, "t").select(F.col("k").alias(key)).distinct()
 
 
 def length_spikes(texts: DataFrame, text: str, around: int = 10, times: float = 6.0, least: int = 20) -> DataFrame:
@@ -112,25 +163,31 @@ def length_spikes(texts: DataFrame, text: str, around: int = 10, times: float =
     return g.filter((F.col("count") >= least) & (F.col("count") > F.greatest(F.lit(1.0), F.col("usual")) * times)).select(F.col("n").alias("spike"))
 
 
-def _prefix_fit(a: str, g: str) -> tuple[float, int]:
-    """(distance, j): the prefix g[:j] that ``a`` is nearest to, the longest on ties."""
-    row = np.arange(len(g) + 1)
+def _prefix_fit(a: str, g: str, misread: float) -> tuple[float, int]:
+    """(distance, j): the prefix g[:j] that ``a`` is nearest to, the longest on ties; only within ``misread`` edits a letter, else (inf, 0)."""
+    k = int(len(a) * misread)
     gs = np.frombuffer(g.encode("utf-32-le"), dtype=np.uint32)
-    idx = np.arange(len(g) + 1)
-    for i, ch in enumerate(a):
-        sub = row[:-1] + (gs != ord(ch))
-        new = np.concatenate(([i + 1], np.minimum(sub, row[1:] + 1)))
+    far, idx = len(a) + len(g) + 1, np.arange(2 * k + 1)
+    row = np.where(idx >= k, idx - k, far)  # place x of row i is the prefix of i - k + x letters
+    pad = np.concatenate((np.zeros(k, np.uint32), gs, np.zeros(k + len(a) + 1, np.uint32)))
+    for i, ch in enumerate(a, 1):
+        new = row + (pad[i - 1 : i + 2 * k] != ord(ch))  # the letter before place x
+        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
         row = np.minimum.accumulate(new - idx) + idx
-    j = int(len(row) - 1 - np.argmin(row[::-1]))
-    return float(row[j]), j
+        if i % 16 == 0 and row.min() > k:
+            return float("inf"), 0
+    row[(idx + len(a) - k < 0) | (idx + len(a) - k > len(g))] = far
+    best = int(row.min())
+    x = int(len(row) - 1 - np.argmin(row[::-1]))
+    return (float(best), len(a) - k + x) if best <= k else (float("inf"), 0)
 
 
-def reads_as_beginning(answer: Column, reference: Column) -> Column:
-    """A struct (distance, reach): how far the answer is from the beginning of the reference it fits best, and how much of the reference that is."""
+def reads_as_beginning(answer: Column, reference: Column, misread: float) -> Column:
+    """A struct (distance, reach): how far the answer is from the beginning of the reference it fits best, and how much of the reference that is; (inf, 0) beyond ``misread`` edits a letter."""
 
     @F.pandas_udf(T.StructType([T.StructField("distance", T.DoubleType()), T.StructField("reach", T.IntegerType())]))
     def fit(a: pd.Series, g: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_prefix_fit(x, y) for x, y in zip(a, g)], columns=["distance", "reach"])
+        return pd.DataFrame([_prefix_fit(x, y, misread) for x, y in zip(a, g)], columns=["distance", "reach"])
 
     return fit(answer, reference)
 
@@ -141,25 +198,24 @@ def defects(rows: DataFrame, key: str, raw: str, prompt: str, reference: str, un
     base = rows.select(c(key).alias("k"), unwrap(c(raw)).alias("answer"), c(prompt).alias("prompt"), c(reference).alias("ref"))
     base = base.withColumn("a", compact(F.col("answer"))).withColumn("g", compact(F.col("ref")))
     # Written once: every later step uses these texts, and a plan would run their patterns again at each use.
-    base = (ws or Workspace(rows.sparkSession, "answers")).save(base, "texts")
+    ws = ws or Workspace(rows.sparkSession, "answers")
+    base = ws.save(base, "texts")
 
     empty = base.filter(F.col("a") == "").select("k", F.lit("empty").alias("defect_type"))
     # Whether a symbol-only answer is empty is decided by its letters and digits; a reference without any keeps it.
     some = base.filter(F.col("a") != "")
 
-    # Suspects of truncation.
-    listed = some.select(F.col("a").alias("t")).unionByName(base.select(F.col("g").alias("t")))
-    cut = shortened(listed, "t").withColumn("cut", F.lit(True))
-    spikes = length_spikes(some.filter(~F.col("answer").rlike(r"[.!?。！？…]\s*$")), "a")
-    judged = some.join(cut, some["a"] == cut["t"], "left").drop("t")
-    judged = judged.join(spikes, F.length("a") == F.col("spike"), "left")
-    short = F.length("a") <= F.length("g") * (1 - unwritten) + 1
-    suspect = (F.length("g") > 0) & (F.col("cut").isNotNull() | F.col("spike").isNotNull() | short) & (F.length("a") < F.length("g"))
-    judged = judged.withColumn("suspect", suspect).drop("cut", "spike")
-    fit = reads_as_beginning(F.col("a"), F.col("g"))
-    tried = judged.filter("suspect").select("k", F.length("a").alias("na"), F.length("g").alias("ng"), fit.alias("f"))
-    fits = F.col("f.distance") <= F.greatest(F.lit(0.0), F.col("na") * misread)
-    truncated = tried.filter(fits & (F.col("ng") - F.col("f.reach") >= F.col("ng") * unwritten)).select("k", F.lit("truncated").alias("defect_type")).distinct()
+    # Suspects of truncation: both ways of the method, and of them those short enough to leave so much unwritten.
+    listed = some.select("k", F.col("answer").alias("t"), F.col("answer").rlike(END).alias("whole")).unionByName(base.select(F.lit(None).cast(base.schema["k"].dataType).alias("k"), F.coalesce("ref", F.lit("")).alias("t"), F.lit(True).alias("whole")))
+    cut = shortened(listed, "k", "t", "whole", ws=ws).withColumn("cut", F.lit(True))
+    spikes = length_spikes(some.filter(~F.col("answer").rlike(END)), "a")
+    short = (F.length("g") > 0) & (F.length("a") * (1 - misread) <= F.length("g") * (1 - unwritten))
+    judged = some.filter(short).join(cut, "k", "left").join(spikes, F.length("a") == F.col("spike"), "left").filter(F.col("cut").isNotNull() | F.col("spike").isNotNull())
+    most = F.floor(F.length("a") * (2 * misread)).cast("int")  # so far from the reference's first letters a beginning can be at most
+    judged = judged.filter(F.call_function("levenshtein", F.col("a"), F.expr("substring(g, 1, length(a))"), most) >= 0)
+    tried = judged.select("k", F.length("a").alias("na"), F.length("g").alias("ng"), reads_as_beginning(F.col("a"), F.col("g"), misread).alias("f"))
+    truncated = tried.filter((F.col("f.distance") <= F.col("na") * misread) & (F.col("ng") - F.col("f.reach") >= F.col("ng") * unwritten)).select("k", F.lit("truncated").alias("defect_type")).distinct()
+    truncated = ws.save(truncated, "truncated")
 
     # The rest: only answers that do not read like the reference, in whole or at their beginning.
     def near(x: Column, y: Column, th: float) -> Column:
