@@ -34,8 +34,13 @@ from quillflow.session import Workspace
 # Letters that look like a Latin letter, and marks that look like an ASCII one.
 CYRILLIC = dict(zip("АВЕКМНОРСТХУІЈЅаеорсухіјѕһԁԛԝ", "ABEKMHOPCTXYIJSaeopcyxijshdqw"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονυ", "ABEZHIKMNOPTYXovu"))
+MORE_GREEK = dict(zip("αικρϲϳ", "aikpcj"))
+ARMENIAN = dict(zip("ՍՕօհոսզցյ", "UOohnuqgj"))
+COPTIC = dict(zip("ⲞⲟⲢⲣⲤⲥⲔⲘⲚⲦⲬⲎⲂ", "OoPpCcKMNTXHB"))
+CHEROKEE = dict(zip("ᎪᎬᎻᎫᎠᎡᎢᏀᏃᎷᏚᏟᏢᎳᏙᏦᏞᏴᏏᎥ", "AEHJDRTGZMSCPWVKLBbi"))
+LATIN = dict(zip("ɑɡıᴏᴄᴠᴡᴢ", "agiocvwz"))
 MARKS = {"‐": "-", "‑": "-", "ʼ": "’", "․": "."}
-LOOKS = CYRILLIC | GREEK | MARKS
+LOOKS = CYRILLIC | GREEK | MORE_GREEK | ARMENIAN | COPTIC | CHEROKEE | LATIN | MARKS
 
 #: Hangul syllable arithmetic of the Unicode standard.
 S0, L0, V0, T0, LN, VN, TN = 0xAC00, 0x1100, 0x1161, 0x11A7, 19, 21, 28
@@ -127,9 +132,22 @@ def _class_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c, k) for c, _, k in pieces() if k], schema)
 
 
-def _pair_table(spark: SparkSession) -> DataFrame:
-    schema = T.StructType([T.StructField("pair", T.StringType()), T.StructField("whole", T.StringType())])
-    return spark.createDataFrame(list(pairs().items()), schema)
+def _pair_map() -> Column:
+    """``pairs`` as one constant."""
+    return F.create_map(*(F.lit(x) for kv in pairs().items() for x in kv))
+
+
+def _composed(cluster: Column, table: Column) -> Column:
+    """A letter with its marks (structs ccc, p; in order): each mark that no kept one of its class stands before is taken in where the pair exists."""
+    start = F.struct(cluster[0]["p"].alias("letter"), F.lit("").alias("rest"), F.lit(0).alias("last"))
+
+    def take(acc: Column, x: Column) -> Column:
+        whole = F.when(acc["last"] != x["ccc"], F.try_element_at(table, F.concat(acc["letter"], x["p"])))
+        return F.when(whole.isNotNull(), F.struct(whole.alias("letter"), acc["rest"].alias("rest"), acc["last"].alias("last"))).otherwise(
+            F.struct(acc["letter"].alias("letter"), F.concat(acc["rest"], x["p"]).alias("rest"), x["ccc"].alias("last"))
+        )
+
+    return F.aggregate(F.slice(cluster, F.lit(2), F.greatest(F.size(cluster) - 1, F.lit(0))), start, take, lambda acc: F.concat(acc["letter"], acc["rest"]))
 
 
 def _code(c: Column) -> Column:
@@ -174,23 +192,15 @@ def one_form(texts: DataFrame, key: str, text: str, ws: Workspace | None = None)
     part = got.select("k", "pos", F.posexplode(F.filter(F.split("to", ""), lambda x: x != "")).alias("sub", "p"))
     part = part.join(F.broadcast(_class_table(spark)), F.col("p") == F.col("mark"), "left").select("k", "pos", "sub", "p", F.coalesce("ccc", F.lit(0)).alias("ccc"))
     seq = part.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pos", "sub", "p", "ccc"))).alias("seq"))
-    # Clusters: a starter and the marks after it, ordered by class, then by place.
+    # Clusters: a starter and the marks after it, ordered by class, then by place; its letter takes them in.
     starts = F.filter(F.sequence(F.lit(0), F.size("seq") - 1), lambda i: (F.get("seq", i)["ccc"] == 0) | (i == 0))
     plain_marks = ~F.exists("seq", lambda x: x["ccc"] > 0)
-    cluster = F.transform(
-        F.arrays_zip(starts.alias("a"), F.concat(F.slice(starts, 2, 100_000_000), F.array(F.size("seq"))).alias("b")),
-        lambda z: F.array_join(F.transform(F.array_sort(F.transform(F.slice("seq", z["a"] + 1, z["b"] - z["a"]), lambda x: F.struct(x["ccc"].alias("ccc"), x["pos"].alias("pos"), x["sub"].alias("sub"), x["p"].alias("p")))), lambda x: x["p"]), ""),
-    )
-    flat = F.array_join(F.transform("seq", lambda x: x["p"]), "")
-    seq = seq.select("k", F.when(plain_marks, F.transform(F.split(flat, ""), lambda x: x)).otherwise(cluster).alias("clusters"), plain_marks.alias("bare"), flat.alias("flat"))
-    seq = (ws or Workspace(spark, "forms")).save(seq, "sequences")
-    marked = seq.filter(~F.col("bare")).select("k", F.posexplode("clusters").alias("n", "c"))
-    # Recomposition: a cluster's letter takes its marks one after another while the pair exists.
-    table = F.broadcast(_pair_table(spark))
-    for _ in range(3):
-        marked = marked.join(table, F.substring("c", 1, 2) == F.col("pair"), "left").select("k", "n", F.when(F.col("whole").isNotNull(), F.concat("whole", F.substring("c", 3, 1_000_000))).otherwise(F.col("c")).alias("c"))
-    marked = marked.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "c"))), lambda x: x["c"]), "").alias("flat"))
-    flat = seq.filter("bare").select("k", "flat").unionByName(marked)
+    bounds = F.arrays_zip(starts.alias("a"), F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size("seq"))).alias("b"))
+    sorted_ = lambda z: F.array_sort(F.transform(F.slice("seq", z["a"] + 1, z["b"] - z["a"]), lambda x: F.struct(x["ccc"].alias("ccc"), x["pos"].alias("pos"), x["sub"].alias("sub"), x["p"].alias("p"))))
+    table = _pair_map()
+    marked = F.array_join(F.transform(bounds, lambda z: _composed(sorted_(z), table)), "")
+    flat = seq.select("k", F.when(plain_marks, F.array_join(F.transform("seq", lambda x: x["p"]), "")).otherwise(marked).alias("flat"))
+    flat = (ws or Workspace(spark, "forms")).save(flat, "sequences")
     alone = alone_jamo()
     form = F.translate(_hangul(F.col("flat")), "".join(alone), "".join(alone.values()))
     done = flat.select("k", form.alias("f")).unionByName(odd.join(flat, "k", "left_anti").select("k", F.lit("").alias("f")))
