@@ -142,10 +142,12 @@ def mix(documents: DataFrame, doc_id: str, source: Column, tokens: str, targets:
     rated = rated.withColumn("whole", whole).withColumn("need", 1 - (F.col("rate") - whole) - u)  # a further copy if need <= offset
     # Copied tokens as a function of the offset, in bins; the offset of each source is the bin's edge nearest to its target.
     b = F.floor((F.col("need") + 1) / 2 * BINS).cast("int")
-    h = rated.filter("rate > 0").groupBy("source", F.when(F.col("rate") > F.col("whole"), b).alias("bin")).agg(F.sum(F.col("whole") * F.col("tokens")).alias("sure"), F.sum("tokens").alias("more"))
-    offsets = {}
-    for s, (share, _) in targets.items():  # at most BINS + 1 rows per source
-        rows = sorted(((r["bin"], r["sure"], r["more"]) for r in h.filter(F.col("source") == s).collect()), key=lambda r: (r[0] is None, r[0]))
+    h = rated.filter((F.col("rate") > 0) & F.col("source").isin(*targets)).groupBy("source", F.when(F.col("rate") > F.col("whole"), b).alias("bin")).agg(F.sum(F.col("whole") * F.col("tokens")).alias("sure"), F.sum("tokens").alias("more"))
+    offsets, by = {}, {}
+    for r in h.collect():  # at most BINS + 1 rows per source
+        by.setdefault(r["source"], []).append((r["bin"], r["sure"], r["more"]))
+    for s, (share, _) in targets.items():
+        rows = sorted(by.get(s, []), key=lambda r: (r[0] is None, r[0]))
         have, want = sum(r[1] for r in rows), share * total
         near = (abs(have - want), -1)
         for k, _, extra in rows:

@@ -79,7 +79,7 @@ def tied_sets(records: DataFrame, id_col: str, keys: Column, ws: Workspace | Non
     ws = ws or Workspace(records.sparkSession, "sets")
     ks = F.array_sort(F.array_distinct(F.filter(keys, lambda k: k.isNotNull())))
     rows = records.select(F.col(f"`{id_col}`").alias("id"), ks.alias("keys")).filter(F.size("keys") > 0)
-    rows = ws.save(rows.select("id", F.element_at("keys", 1).alias("key"), F.slice("keys", 2, 1_000_000).alias("more")), "rows")
+    rows = ws.save(rows.select("id", F.element_at("keys", 1).alias("key"), F.slice("keys", F.lit(2), F.size("keys")).alias("more")), "rows")
     edges = rows.filter(F.size("more") > 0).select(F.col("key").alias("a"), F.explode("more").alias("b"))
     labels = contract(ws, edges)
     per_key = rows.groupBy("key").agg(F.min("id").alias("least"), F.count_distinct("id").alias("n"))
@@ -90,16 +90,17 @@ def tied_sets(records: DataFrame, id_col: str, keys: Column, ws: Workspace | Non
     return rows.select("id", "key").join(named, "key").select("id", "group_id", "size")
 
 
-def assign_splits(groups: DataFrame, proportions: Mapping[str, float], heavy: float = 0.001, buckets: int = 256, seed: int = 42) -> DataFrame:
+def assign_splits(groups: DataFrame, proportions: Mapping[str, float], heavy: float = 0.001, per_bucket: int = 100_000, seed: int = 42) -> DataFrame:
     """(group_id, split) so that the splits' weights come near the proportions.
 
     ``groups``: group_id and weight (a whole number), one row each. A set heavier than ``heavy`` of the total is placed
-    alone, so at most ``1 / heavy`` rows reach the driver.
+    alone, so at most ``1 / heavy`` rows reach the driver. There are as many buckets as ``per_bucket`` sets each need, 16 at least.
     """
     spark = groups.sparkSession
     names = list(proportions)
     scale = sum(proportions.values())
-    total = groups.agg(F.sum("weight")).first()[0] or 0
+    total, n = groups.agg(F.sum("weight"), F.count("*")).first()
+    total, buckets = total or 0, max(16, -(-n // per_bucket))
     room = {n: total * proportions[n] / scale for n in names}
     limit = max(1.0, total * heavy)
     big = groups.filter(F.col("weight") > limit).orderBy(F.desc("weight"), "group_id").collect()

@@ -80,8 +80,43 @@ def test_defects(spark):
 
 
 def test_shortened_finds_prefixes(spark):
-    t = spark.createDataFrame([("가나다라마바",), ("가나다라마바사아자차카",), ("가나다라마바",), ("전혀다른글입니다",)], "t string")
-    assert [r["t"] for r in answers.shortened(t, "t").collect()] == ["가나다라마바"]
+    rows = [(1, "가나다라 마바", False), (2, "다른말 다라마바 사아자", False), (3, "전혀 다른 글입니다", False), (4, "가나다라 마바", False), (None, "가나다라 마바 사아자 차카", True), (None, "어떤말 다라마바 사아자 차카", True)]
+    t = spark.createDataFrame(rows, "id long, t string, w boolean")
+    assert {r["id"] for r in answers.shortened(t, "id", "t", "w").collect()} == {1, 2, 4}  # the second by its second word
+
+
+@pytest.mark.parametrize("per", [7, 10_000])
+def test_neighbours_equal_brute_force(spark, per):
+    from quillflow.session import Workspace
+
+    rnd = random.Random(9)
+    some = {"가가가" + "".join(rnd.choice("가나다") for _ in range(rnd.randrange(1, 9))): rnd.random() < 0.2 for _ in range(120)}  # one opening
+    d = spark.createDataFrame(list(some.items()), "t string, whole boolean")
+    got = {r["t"]: (r["before"], r["after"]) for r in answers.neighbours(d, Workspace(spark, "n"), per).collect()}
+    want = {t: (max((x for x, w in some.items() if w and x < t), default=None), min((x for x, w in some.items() if w and x > t), default=None)) for t in some}
+    assert got == want
+
+
+def test_truncation_comes_from_sorting_and_spikes(spark, monkeypatch):
+    d = spark.createDataFrame([(1, G[:20], P, G), (2, G, P, G), (3, "컨 " + G[2:22], P, G)], "id long, raw string, prompt string, gt string")
+    found = lambda: {r["id"] for r in answers.defects(d, "id", "raw", "prompt", "gt").collect()}
+    assert found() == {1, 3}
+    monkeypatch.setattr(answers, "shortened", lambda texts, *a, **k: texts.select(F.col("k")).limit(0))
+    assert found() == set()
+
+
+def test_prefix_fit_equals_brute_force():
+    rnd = random.Random(4)
+    word = lambda n: "".join(rnd.choice("가나다라") for _ in range(n))
+    for _ in range(300):
+        g = word(rnd.randrange(1, 30))
+        a = list(g[: rnd.randrange(1, len(g) + 1)])
+        for _ in range(rnd.randrange(4)):
+            a[rnd.randrange(len(a))] = word(rnd.randrange(3))
+        a = "".join(a) or "가"
+        best = min((_lev(a, g[:j]), -j) for j in range(len(g) + 1))
+        want = (best[0], -best[1]) if best[0] <= int(len(a) * 0.35) else (float("inf"), 0)
+        assert answers._prefix_fit(a, g, 0.35) == want
 
 
 def test_length_spikes(spark):
@@ -154,13 +189,25 @@ def test_overlaps_edge_cases(spark):
     e = spark.createDataFrame([(1, "Ａｂｃ 가나다!", None, "h1", "x"), (2, None, "", None, "x"), (3, "   ", None, "", "x"), (4, "abc가나다", None, "h2", "x")], "r long, g string, c string, h string, row string")
     t = spark.createDataFrame([(11, "abc 가나다", None, "h1", "x"), (12, None, None, None, "x"), (13, "", "", "", "x"), (11, "abc 가나다", None, "h1", "x")], "r long, g string, c string, h string, id string")
     h = F.nullif(F.col("h"), F.lit(""))
-    got = {(r["row_e"], r["row_t"], r["kind"]) for r in overlaps.overlaps(e, t, "r", ["g", "c"], ["g", "c"], {"hash": (h, h)}).collect()}
-    assert got == {(1, 11, "text"), (4, 11, "text"), (1, 11, "hash")}
-    assert overlaps.overlaps(e, t.limit(0), "r", ["g"], ["g"], {"hash": (h, h)}).count() == 0
+    o = overlaps.overlaps(e, t, "r", ["g", "c"], ["g", "c"], {"hash": (h, h)})
+    assert sorted((r["row_e"], r["row_t"], r["kind"]) for r in overlaps.expand(o).collect()) == [(1, 11, "hash"), (1, 11, "text"), (4, 11, "text")]
+    assert {tuple(r) for r in o.links.collect()} == {("text", 1, 11), ("hash", 1, 11)}
+    assert {tuple(r) for r in o.members.filter("kind = 'text'").collect()} == {("e", "text", 1, 1), ("e", "text", 4, 1), ("t", "text", 11, 11)}
+    assert overlaps.overlaps(e, t.limit(0), "r", ["g"], ["g"], {"hash": (h, h)}).links.count() == 0
+
+
+def test_hot_segments_are_split_and_lose_nothing(spark, monkeypatch):
+    rnd = random.Random(11)
+    tail = lambda: "".join(rnd.choice("가나다라마바사아") for _ in range(25))
+    base = ["같은시작으로쓴글의첫머리" + tail() for _ in range(30)]
+    e = spark.createDataFrame(list(enumerate(base)), "id long, text string")
+    t = spark.createDataFrame([(100 + i, b[:-1] + "하") for i, b in enumerate(base)], "id long, text string")
+    monkeypatch.setattr(overlaps, "PER_TASK", 50)
+    assert {(r["id_e"], r["id_t"]) for r in overlaps.near_texts(e, t).collect()} >= {(i, 100 + i) for i in range(30)}
 
 
 # --- problem 5 ---------------------------------------------------------------------------------------------------------
-TEXTS = ["", "  ", "가나다", "각 ᄀ", "q̣̇", "q̣̇", "Ｐａｘ－７", "Ρах-7", "a​b﻿c", "a 　 b", "café", "café", "ﬁ①²", "ﾻﾻㅋ", "Å", "ộ", "한국어", "\U0001f600x", "­조‍선", "a\tb\nc", "말 없는 악산는 푸른솔"]
+TEXTS = ["a\u0316\u0301", "q\u0301\u0307\u0316", "a\u0301\u0301", "\u0301a", "αɑօⲟᎪ", "", "  ", "가나다", "각 ᄀ", "q̣̇", "q̣̇", "Ｐａｘ－７", "Ρах-7", "a​b﻿c", "a 　 b", "café", "café", "ﬁ①²", "ﾻﾻㅋ", "Å", "ộ", "한국어", "\U0001f600x", "­조‍선", "a\tb\nc", "말 없는 악산는 푸른솔"]
 
 
 def test_one_form_equals_fold(spark):
@@ -186,20 +233,32 @@ def test_fold_is_idempotent(s):
 
 
 # --- problem 6 ---------------------------------------------------------------------------------------------------------
-def _share(t, g=5):
+def _share(words, g=5):
+    t = "".join(words)
+    g = min(g, max(1, len(t) // 2))
     seen, on = set(), [False] * len(t)
     for i in range(len(t) - g + 1):
         w = t[i : i + g]
         if w in seen:
             on[i : i + g] = [True] * g
         seen.add(w)
-    return sum(on) / len(t) if len(t) > g else 0.0
+    seen, k = set(), 0
+    for w in words:
+        if w in seen:
+            on[k : k + len(w)] = [True] * len(w)
+        seen.add(w)
+        k += len(w)
+    return sum(on) / len(t) if t else 0.0
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="가나다ab", max_size=80))
+@given(st.text(alphabet="가나다ab ", max_size=80))
 def test_repeated_share_equals_brute_force(t):
-    assert repetition.repeated_share(t) == pytest.approx(_share(t))
+    assert repetition.repeated_share(t.split()) == pytest.approx(_share(t.split()))
+
+
+def _bands(spark, rows):
+    return {r["id"]: r for r in spark.createDataFrame(rows, "id long, t string").select("id", repetition.repetition(F.col("t")).alias("m")).select("id", "m.*", repetition.rejected().alias("rejected")).collect()}
 
 
 def test_repetition_bands(spark):
@@ -207,28 +266,68 @@ def test_repetition_bands(spark):
     rnd = random.Random(1)
     noise = "".join(chr(rnd.randrange(0xAC00, 0xD7A3)) for _ in range(3000))
     rows = [(1, loop), (2, fresh), (3, None), (4, ""), (5, "...!!"), (6, noise), (7, noise + noise), (8, "ㅋ" * 50), (9, "지난수요일" * 30), (10, fresh * 2000)]
-    got = {r["id"]: r for r in spark.createDataFrame(rows, "id long, t string").select("id", repetition.repetition(F.col("t")).alias("m")).select("id", "m.*").collect()}
-    assert {i for i, r in got.items() if (r["repeated_share"] or 0) >= 0.5 or (r["repeated_share"] or 0) > 0.499 and i == 7} == {1, 7, 8, 9, 10}
-    assert got[3]["repeated_share"] is None and got[4]["repeated_share"] == 0 and got[6]["band"] in ("incompressible", "fresh")
+    rows += [(11, "안녕 안녕"), (12, "안녕하세 안녕하세"), (13, "아아아아아"), (14, "2023 2023 2023"), (15, "가나다"), (16, "1. 가나다라 2. 마바사아 3. 자차카타")]
+    got = _bands(spark, rows)
+    assert {i for i, r in got.items() if r["rejected"]} == {1, 7, 8, 9, 10, 11, 12, 13, 14}
+    assert got[3]["repeated_share"] is None and got[4]["repeated_share"] == 0 and got[5]["band"] == "empty" and got[6]["band"] in ("incompressible", "fresh")
+    assert got[16]["repeated_share"] == 0
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", [chr(c) for c in range(0xAC00, 0xD7A4)], [chr(0xAC00 + 28 * k) for k in range(300)]])
+def test_no_band_passes_over_half_repeated_text(spark, letters):
+    rnd = random.Random(2)
+    rows = []
+    for i in range(80):  # shuffled pieces that each stand twice, the hardest to compress
+        n = rnd.choice((10, 20, 40, 60, 100, 200, 450, 900, 3000, 9000)) // 10
+        pieces = ["".join(rnd.choice(letters) for _ in range(5)) for _ in range(n)] * 2
+        rnd.shuffle(pieces)
+        rows.append((i, "".join(pieces)))
+    big = ["".join(rnd.choice(letters) for _ in range(5)) for _ in range(6000)] * 2
+    rnd.shuffle(big)
+    got = _bands(spark, rows + [(99, "".join(big))])
+    assert all(r["rejected"] for r in got.values() if r["repeated_share"] >= 0.5) and sum(r["repeated_share"] >= 0.5 for r in got.values()) > 60
 
 
 # --- problem 7 ---------------------------------------------------------------------------------------------------------
 def test_automaton_finds_longest_matches():
     rnd = random.Random(2)
     items = ["".join(rnd.choice("abc") for _ in range(30)) for _ in range(4)] + ["aaaa", "aaaa"]
-    a = leaks.Automaton(items)
+    a = leaks.Automaton(items, 3)
+    joined = "|" + "|".join(items) + "|"
     for _ in range(50):
         t = "".join(rnd.choice("abcd") for _ in range(40))
-        ends = {}
-        for end, n, s in a.longest(t):
-            w = t[end - n : end]
-            assert a.items[s] == sum(1 << k for k, x in enumerate(items) if w in x)
-            ends[end] = n
-        for end in range(1, 41):  # maximal matches are those that the next character does not carry on
+        got = {e: (n, s) for e, n, s in zip(*(x.tolist() for x in a.stream(t, 1)))}
+        for end in range(1, 41):
             n = max((k for k in range(end + 1) if any(t[end - k : end] in x for x in items)), default=0)
-            nxt = max((k for k in range(end + 2) if end < 40 and any(t[end + 1 - k : end + 1] in x for x in items)), default=0)
-            if n and nxt != n + 1:
-                assert ends[end] == n
+            assert got.get(end, (0, 0))[0] == n
+            if n:
+                w = t[end - n : end]
+                s = got[end][1]
+                assert {p - n + 1 for p in a.ends[a.lo[s] : a.hi[s]].tolist()} == {i for i in range(len(joined)) if joined.startswith(w, i)}
+            if n >= 3:
+                s = a.locus[got[end][1]]
+                assert sorted(p - 2 for p in a.ends[a.lo[s] : a.hi[s]].tolist()) == [i for i in range(len(joined)) if joined.startswith(t[end - 3 : end], i)]
+
+
+def test_matches_are_each_items_own_longest():
+    rnd = random.Random(3)
+    g = leaks.Group([(i, "".join(rnd.choice("가나") for _ in range(25))) for i in range(5)], 1.0)
+    joined = "\1" + "".join(t + "\1" for t in g.texts)
+    for pairs in (1, leaks.PAIRS):
+        leaks.PAIRS, was = pairs, leaks.PAIRS
+        text = "\0" + "".join(rnd.choice("가나다") for _ in range(80)) + "\0"
+        got = sorted(map(tuple, g.matches(text).tolist()))
+        leaks.PAIRS = was
+        want = []
+        for i in range(1, len(text)):
+            for p in range(1, len(joined)):
+                if text[i - 1] != joined[p - 1]:
+                    n = 0
+                    while text[i + n : i + n + 1] == joined[p + n : p + n + 1] != "":
+                        n += 1
+                    if n >= 5:
+                        want.append((i, p, n))
+        assert got == want
 
 
 ITEM = "차가운 봉투를 챙겼던 목소리 큰 요리사는 휴가 마지막 날 밤늦게 참샘 우체국까지 가서 평범한 못을 꼼꼼히 구경했다. 운동회 날 점심시간에 물안개 빵집에 들른 느긋한 기관사는 기꺼이 찢어진 접시를 꺼냈고, 짧은 나침반도 함께 숨겼다."
@@ -271,18 +370,46 @@ def test_leaks_of_half_in_blocks_runs_or_altered(spark):
     assert {r["doc_id"] for r in leaks.leaks(d, "doc_id", "text", q, "item_id", "text").collect()} == {1, 2, 3}
 
 
-def test_suspects_are_a_lower_bound():
+def test_bounds_pass_no_item_over():
+    """What the bounds leave out has no passages that cover so much."""
     rnd = random.Random(5)
     words = ITEM.split() + OTHER.split()
-    block = leaks.Block([1, 2], [ITEM, OTHER])
+    (g,) = leaks.Block([1, 2], [ITEM, OTHER]).groups
+    found = 0
     for _ in range(400):
         text = leaks.normal(" ".join(rnd.choice([ITEM, OTHER])[(a := rnd.randrange(60)) : a + rnd.randrange(4, 30)] if rnd.random() < 0.7 else rnd.choice(words) for _ in range(8)))
-        every = {i for i in range(len(text) - 4) if any(text[i : i + 5] in t for t in block.texts)}
-        assert {i for i, _ in block.automaton.runs(text, 5)} == every
-        for k, pairs in block.pairs(text, [(0, len(text))], 5).items():
-            assert all(text[i : i + 5] == block.texts[k][p : p + 5] for i, p in pairs)
-            share = leaks._cover([(p, q) for _, _, p, q in block.passages(k, pairs)]) / len(block.texts[k])
-            assert block.suspect(k, pairs, share)
+        got = {k: share for _, k, share, _ in g.leaked([text], 0.3)}
+        m = g.matches("\0" + text + "\0")
+        for k in range(2):
+            own = sorted((i - 1, p - int(g.first[k]), n) for i, p, n in m.tolist() if g.first[k] <= p < g.first[k] + len(g.texts[k]))
+            share = leaks._cover([(p, q) for _, _, p, q in g.passages(k, own)]) / len(g.texts[k])
+            assert (share >= 0.3) == (k in got) and got.get(k, share) == share
+            found += k in got
+    assert found > 20
+
+
+def test_an_item_inside_a_longer_match_of_another_is_found(spark):
+    """A = X + Y, B = X + Z, and a document holds X + Y: both leak."""
+    rnd = random.Random(8)
+    w = lambda n: "".join(chr(rnd.randrange(0xAC00, 0xD7A4)) for _ in range(n))
+    x, y, z = w(40), w(20), w(20)
+    d = spark.createDataFrame([(1, OTHER + x + y)], "doc_id long, text string")
+    q = spark.createDataFrame([(1, x + y), (2, x + z)], "item_id long, text string")
+    assert {r["item_id"] for r in leaks.leaks(d, "doc_id", "text", q, "item_id", "text").collect()} == {1, 2}
+
+
+@pytest.mark.parametrize("copies", [1, 3, 4, 10])
+def test_altered_items_are_found_however_often_they_stand_in_the_set(spark, copies):
+    rnd = random.Random(8)
+    item = [chr(rnd.randrange(0xAC00, 0xD7A4)) for _ in range(64)]
+    altered = "".join("하" if i % 16 == 15 else c for i, c in enumerate(item))
+    d = spark.createDataFrame([(1, OTHER + altered)], "doc_id long, text string")
+    q = spark.createDataFrame([(i, "".join(item)) for i in range(copies)], "item_id long, text string")
+    assert leaks.leaks(d, "doc_id", "text", q, "item_id", "text").count() == copies
+
+
+def test_invisible_letters_do_not_hide_a_leak():
+    assert leaks.normal("가\u3164나") == "가나" == leaks.places("가\u3164나")[0]
 
 
 # --- problem 8 ---------------------------------------------------------------------------------------------------------
@@ -319,3 +446,36 @@ def test_residue(spark):
     r = residue.residue(d, "doc_id", "text").filter("excluded")
     assert {x["doc_id"] for x in r.collect()} == {*range(1000, 1040), 2001}
     assert residue.residue(d.limit(0), "doc_id", "text").count() == 0
+
+
+def _prose(rnd, english):
+    if english:
+        a = "the old clerk|a quiet teacher|their miller|one careful nurse".split("|")
+        b = "polished counted repaired misplaced carried sold".split()
+        c = "striped heavy curious woollen rusty bent".split()
+        d = "chair hinge basket ribbon jar satchel".split()
+        e = "by the market|inside the chapel|near the school|behind the canal".split("|")
+        return " ".join(f"On Monday {rnd.choice(a)} {rnd.choice(b)} the {rnd.choice(c)} {rnd.choice(d)} {rnd.choice(e)}." for _ in range(6))
+    w = "어부 농부 악사 약사 사서 시장 공원 책방 강당 편지를 열쇠를 사과를 모자를 그렸다 팔았다 샀다 날랐다".split()
+    return " ".join(" ".join(rnd.choice(w) for _ in range(8)) + "." for _ in range(6))
+
+
+@pytest.mark.parametrize("n", [100, 1000, 10_000])
+def test_residue_at_every_size(spark, n):
+    """Prose in a language rare among notices, and prose that speaks of errors, stays in, however few trusted records there are."""
+    rnd = random.Random(n)
+    notices = ["Page not found.", "Access denied.\nGo back", "페이지를 찾을 수 없습니다.\n메뉴 | 위로", "Please enable JavaScript to view this page.", "로그인이 필요합니다."]
+    docs, want = [], set()
+    for i in range(n):
+        if i % 25 == 0:
+            docs.append((i, notices[i // 25 % 5]))
+            want.add(i)
+        elif i % 25 == 1:
+            docs.append((i, _prose(rnd, i % 2 == 0) + " " + rnd.choice(["{{ name }}", "${date}", "[INSERT TITLE HERE]", "<%= sign_off %>"]) + " " + _prose(rnd, False)))
+            want.add(i)
+        elif i % 25 == 2:
+            docs.append((i, _prose(rnd, True) + " The clerk wrote that page 22 was not found in the old index. " + _prose(rnd, True)))
+        else:
+            docs.append((i, _prose(rnd, i % 10 == 3) + (" [참고] (a b 3)" if i % 40 == 7 else "")))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"] for r in residue.residue(d, "doc_id", "text").filter("excluded").collect()} == want
