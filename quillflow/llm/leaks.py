@@ -9,7 +9,8 @@ matches, in pairs of ranges.
 
 An item's matches are chained along near diagonals into passages, so single altered words or characters do not break a
 passage. Passages longer than what templates and common phrases share count, shorter ones where ``SEVERAL`` stand in the item's
-own order, and a document leaks an item whose passages cover ``COVER`` of it. Passages skip at most SKIP - SEED
+own order, and a document leaks an item whose passages cover ``COVER`` of it, ``DENSE`` of that letter by letter (chance meetings of
+common words along a diagonal skip more). Passages skip at most SKIP - SEED
 characters between matches, and matches further apart in the document join none: items whose matches cannot reach ``COVER`` by these
 bounds are left out before they are chained, and none is passed over. ``spans`` gives the raw character ranges, ``without_spans`` the texts less them.
 
@@ -41,8 +42,8 @@ RUN, SEVERAL = 8, 3
 LETTER = 2.5
 #: A passage may skip so many characters (altered words), and drift by so many.
 SKIP, DRIFT = 14, 6
-#: Half of the item.
-COVER = 0.5
+#: Half of the item; and so much of that half letter by letter, in passages.
+COVER, DENSE = 0.5, 0.8
 #: Blocks of items for one scan; most pairs of places held at a time; characters of documents worked on at a time.
 AT_ONCE, PAIRS, CHARS = 4, 2_000_000, 200_000
 FOUND = T.StructType(
@@ -247,8 +248,11 @@ class Group:
             size[more] += 1
         return np.column_stack((b, size))
 
-    def passages(self, item: int, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-        """(start, end, from, to): passages of the text and of the item that read alike, from its matches (start, place, length) in the text's order."""
+    def passages(self, item: int, matches: list[tuple[int, int, int]], least: float = 0.0) -> list[tuple[int, int, int, int]]:
+        """(start, end, from, to): passages of the text and of the item that read alike, from its matches (start, place, length) in the text's order.
+
+        None if all together are shorter than ``least``.
+        """
         seed, skip, drift = self.width, SKIP * self.factor, DRIFT * self.factor
         open_, done = [], []
         for i, p, n in matches:
@@ -265,10 +269,17 @@ class Group:
                 open_.append([i, i + n - seed, p, p + n - seed, n])
         need = min(PASSAGE * self.factor, len(self.texts[item]))
         runs = [(c[0], c[1] + seed, c[2], c[3] + seed, c[4]) for c in done + open_ if c[4] >= min(RUN * self.factor, need)]
+        if sum(r[3] - r[2] for r in runs) < least:
+            return []
         row = _in_order(runs, seed)
         kept = {r for r in runs if r[4] >= need} | set(row if len(row) >= SEVERAL else [])
         return [r[:4] for r in sorted(kept)]
 
+    @staticmethod
+    def exact(matches: list[tuple[int, int, int]], passages: list[tuple[int, int, int, int]]) -> int:
+        """Characters of the item that are matched within its passages."""
+        return _cover([(p, p + n) for i, p, n in matches if any(a <= i and i + n <= b and c <= p and p + n <= d for a, b, c, d in passages)])
+
     def leaked(self, texts: list[str], cover: float) -> Iterator[tuple[int, int, float, list[tuple[int, int, int, int]]]]:
         """(text, item, share, passages) of each text that holds enough of an item."""
         m = self.matches("\0" + "".join(t + "\0" for t in texts))
@@ -280,8 +291,9 @@ class Group:
         key = d * len(self.texts) + k
         size = np.array([len(t) for t in self.texts])
         # What passages of these matches can cover at most: their lengths and what may be skipped between them ...
-        bound = np.bincount(key, weights=m[:, 2] + self.gap) - self.gap
-        some = np.flatnonzero((bound >= cover * size[np.arange(len(bound)) % len(size)])[key])
+        bound, exact = np.bincount(key, weights=m[:, 2] + self.gap) - self.gap, np.bincount(key, weights=m[:, 2])
+        need = cover * size[np.arange(len(bound)) % len(size)]
+        some = np.flatnonzero(((bound >= need) & (exact >= DENSE * need))[key])
         some = some[np.lexsort((m[some, 1], m[some, 0], key[some]))]
         if not len(some):
             return
@@ -292,17 +304,19 @@ class Group:
         part = np.cumsum(new) - 1
         weight = np.bincount(part, weights=n)
         most = np.bincount(part, weights=n + self.gap) - self.gap
-        most[weight < np.minimum(RUN * self.factor, size[ks[new] % len(self.texts)])] = 0
+        slight = weight < np.minimum(RUN * self.factor, size[ks[new] % len(self.texts)])
+        most[slight] = weight[slight] = 0
         pair, of = np.unique(ks, return_inverse=True)
-        bound = np.bincount(of[new], weights=most)
-        some = some[(bound >= cover * size[pair % len(self.texts)])[of] & (most > 0)[part]]
+        bound, exact = np.bincount(of[new], weights=most), np.bincount(of[new], weights=weight)
+        need = cover * size[pair % len(self.texts)]
+        some = some[((bound >= need) & (exact >= DENSE * need))[of] & ~slight[part]]
         edge = np.flatnonzero(np.concatenate(([True], np.diff(key[some]) > 0, [True]))) if len(some) else []
         for a, b in zip(edge[:-1], edge[1:]):
             item = int(k[some[a]])
             own = list(map(tuple, m[some[a:b]].tolist()))
-            got = self.passages(item, own)
+            got = self.passages(item, own, cover * len(self.texts[item]))
             share = _cover([(p, q) for _, _, p, q in got]) / len(self.texts[item])
-            if share >= cover:
+            if share >= cover and self.exact(own, got) >= DENSE * cover * len(self.texts[item]):
                 yield int(d[some[a]]), item, share, got
 
 
@@ -354,12 +368,15 @@ def _cover(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def _scan(blocks: list[Block], docs: pd.DataFrame, cover: float) -> list[tuple]:
+def _scan(blocks: list[Block], docs: pd.DataFrame, cover: float, with_spans: bool = True) -> list[tuple]:
     raw = [t if isinstance(t, str) else "" for t in docs["text"]]
     texts, ids, out = [normal(t) for t in raw], docs["doc_id"].to_numpy(), []
     where: dict[int, tuple[str, list[int], list[int]]] = {}
     for g in (g for b in blocks for g in b.groups):
         for k, item, share, got in g.leaked(texts, cover):
+            if not with_spans:
+                out.append((g.ids[item], int(ids[k]), float(share), len(got), None))
+                continue
             if k not in where:
                 where[k] = places(raw[k])
             spans = sorted({(where[k][1][a], where[k][2][b - 1]) for a, b, _, _ in got if b <= len(where[k][0])})
@@ -379,8 +396,8 @@ def _slices(texts: pd.Series) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
-def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, cover: float = COVER, block_chars: int = 200_000) -> DataFrame:
-    """(item_id, doc_id, coverage, passages, spans) of every document that holds enough of an item."""
+def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, cover: float = COVER, block_chars: int = 200_000, with_spans: bool = True) -> DataFrame:
+    """(item_id, doc_id, coverage, passages, spans) of every document that holds enough of an item; spans null if not ``with_spans``."""
     spark = documents.sparkSession
     docs = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     q = items.select(F.col(f"`{item_id}`").cast("long").alias("id"), F.col(f"`{item_text}`").alias("t")).filter(F.length("t") > 0)
@@ -397,7 +414,7 @@ def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
             for pdf in batches:
                 got = []
                 for a, b in _slices(pdf["text"]):
-                    got += _scan([x.value for x in shared], pdf.iloc[a:b], cover)
+                    got += _scan([x.value for x in shared], pdf.iloc[a:b], cover, with_spans)
                 yield pd.DataFrame(got, columns=FOUND.names)
 
         df = docs.mapInPandas(run, FOUND)

@@ -12,8 +12,8 @@ from quillflow.session import Workspace, table
 R = Registry()
 
 
-def _leaks(spark: SparkSession, sf: str) -> DataFrame:
-    return leaks(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_item"), "item_id", "text")
+def _leaks(spark: SparkSession, sf: str, with_spans: bool = False) -> DataFrame:
+    return leaks(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_item"), "item_id", "text", with_spans=with_spans)
 
 
 @R.add("p7_found")
@@ -31,7 +31,7 @@ def p7_items(spark: SparkSession, sf: str) -> DataFrame:
 def p7_cleaned(spark: SparkSession, sf: str) -> DataFrame:
     """Lengths of the documents that lose a passage, before and after."""
     docs = table(spark, sf, "documents")
-    found = Workspace(spark, "leaks").save(_leaks(spark, sf), "found")
+    found = Workspace(spark, "leaks").save(_leaks(spark, sf, True), "found")
     bad = docs.select("doc_id", "text").join(found.select("doc_id").distinct(), "doc_id", "left_semi")
     clean = without_spans(bad, "doc_id", "text", found).withColumnRenamed("text", "clean")
     return bad.join(clean, "doc_id").select("doc_id", F.length("text").alias("n_before"), F.length("clean").alias("n_after"))
