@@ -19,7 +19,6 @@ table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import bisect
-import os
 
 import numpy as np
 import pandas as pd
@@ -96,15 +95,14 @@ def language(c: Column) -> Column:
     )
 
 
-def _from_word(c: Column, n: int) -> Column:
-    """Letters, digits and marks from the n-th word on; '' if there are fewer."""
-    return compact(F.regexp_replace(c, r"^\s*(\S+(\s+|$)){%d}" % n, "") if n else c)
-
-
-@F.pandas_udf(T.IntegerType())
-def _common(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Length of the common prefix; 0 for null."""
-    return pd.Series([len(os.path.commonprefix((x, y))) if isinstance(x, str) and isinstance(y, str) else 0 for x, y in zip(a, b)], dtype="int32")
+def _starts(c: Column, whole: Column) -> Column:
+    """``whole`` (the letters of c) from each of the first ``STARTS`` words of c on; only those words are looked at again."""
+    first = r"^\s*" + r"(\S*)\s*" * (STARTS - 1)
+    at, out = F.lit(1), [whole]
+    for n in range(1, STARTS):
+        at = at + F.length(compact(F.regexp_extract(c, first, n)))
+        out.append(F.substr(whole, at))
+    return F.array_distinct(F.array(*out))
 
 
 def _buckets(listed: DataFrame, per: int) -> tuple[DataFrame, int]:
@@ -144,13 +142,13 @@ def neighbours(listed: DataFrame, ws: Workspace, per: int = 10_000) -> DataFrame
 
 
 def shortened(texts: DataFrame, key: str, text: str, whole: str, lead: int = 3, ws: Workspace | None = None) -> DataFrame:
-    """Keys of texts that share their beginning, from one of their first words on, with a longer neighbour in sorted order that is ``whole``."""
+    """Keys of texts that share at least ``lead`` letters of prefix, from one of their first words on, with a longer neighbour in sorted order that is ``whole``."""
     ws = ws or Workspace(texts.sparkSession, "sorted")
-    starts = F.array_distinct(F.array(*(_from_word(F.col(text), n) for n in range(STARTS))))
-    at = texts.select(F.col(key).alias("k"), F.explode(starts).alias("t"), F.col(whole).alias("whole")).filter(F.length("t") >= lead)
+    rows = texts.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("x"), F.col(whole).alias("whole")).withColumn("letters", compact(F.col("x")))
+    at = ws.save(rows.select("k", F.explode(_starts(F.col("x"), F.col("letters"))).alias("t"), "whole").filter(F.length("t") >= lead), "starts")
     near = neighbours(at, ws)
-    shares = lambda n: (F.length(n) > F.length("t")) & (_common(F.col("t"), F.col(n)) >= lead)
-    short = near.filter(F.coalesce(shares("before"), F.lit(False)) | F.coalesce(shares("after"), F.lit(False))).select("t")
+    shares = lambda n: F.coalesce((F.length(n) > F.length("t")) & F.col(n).startswith(F.left("t", F.lit(lead))), F.lit(False))
+    short = near.filter(shares("before") | shares("after")).select("t")
     return at.filter("k IS NOT NULL").join(short, "t").select(F.col("k").alias(key)).distinct()
 
 
@@ -212,7 +210,8 @@ def defects(rows: DataFrame, key: str, raw: str, prompt: str, reference: str, un
     short = (F.length("g") > 0) & (F.length("a") * (1 - misread) <= F.length("g") * (1 - unwritten))
     judged = some.filter(short).join(cut, "k", "left").join(spikes, F.length("a") == F.col("spike"), "left").filter(F.col("cut").isNotNull() | F.col("spike").isNotNull())
     most = F.floor(F.length("a") * (2 * misread)).cast("int")  # so far from the reference's first letters a beginning can be at most
-    judged = judged.filter(F.call_function("levenshtein", F.col("a"), F.expr("substring(g, 1, length(a))"), most) >= 0)
+    judged = judged.filter(F.call_function("levenshtein", F.col("a"), F.expr("substring(g, 1, length(a))"), most) >= 0).select("k", "a", "g")
+    judged = ws.save(judged, "suspects")  # or the alignment would be moved before the joins, to every answer
     tried = judged.select("k", F.length("a").alias("na"), F.length("g").alias("ng"), reads_as_beginning(F.col("a"), F.col("g"), misread).alias("f"))
     truncated = tried.filter((F.col("f.distance") <= F.col("na") * misread) & (F.col("ng") - F.col("f.reach") >= F.col("ng") * unwritten)).select("k", F.lit("truncated").alias("defect_type")).distinct()
     truncated = ws.save(truncated, "truncated")
