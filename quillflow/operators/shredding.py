@@ -25,15 +25,20 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
+#: Steps of nesting that a record may have, times the calls a step takes.
+DEEPEST = 1_000_000
 STRIPES = T.StructType(
     [
         T.StructField("record", T.LongType()),
@@ -58,23 +63,50 @@ def _bare(text: str) -> str:
     return text[a:b]
 
 
+def _object(pairs: list[tuple[str, object]]) -> dict:
+    """The last of fields of one name counts, as everywhere; earlier ones stay on record as name$1, name$2 and so on."""
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        left = {k: 0 for k in out}
+        last = {k: i for i, (k, _) in enumerate(pairs)}
+        for i, (k, v) in enumerate(pairs):
+            if i < last[k]:
+                left[k] += 1
+                out[f"{k}${left[k]}"] = v
+    return out
+
+
+class _Deep(json.JSONDecoder):
+    """Reads texts nested deeper than the built-in reader can go."""
+
+    def __init__(self):
+        super().__init__(object_pairs_hook=_object)
+        self.parse_object, self.parse_array = json.decoder.JSONObject, json.decoder.JSONArray
+        self.scan_once = json.scanner.py_make_scanner(self)
+
+
 def parse(text: str | None):
     """(readable, value) of a JSON text."""
     if text is None:
         return False, None
     try:
-        return True, json.loads(_bare(text))
-    except (ValueError, RecursionError):
+        return True, json.loads(_bare(text), object_pairs_hook=_object)
+    except ValueError:
         return False, None
+    except RecursionError:
+        try:
+            return True, _Deep().decode(_bare(text))
+        except ValueError:
+            return False, None
 
 
-def _elements(value):
-    """[(key, element)] of a container in any of its shapes; None if it holds none."""
+def _elements(value, names: frozenset[str] = frozenset()):
+    """[(key, element)] of a container in any of its shapes; None if it holds none. An object that itself has a container is one element."""
     if isinstance(value, str):
         ok, inner = parse(value)
-        return _elements(inner) if ok and isinstance(inner, (list, dict)) else [(None, value)]
+        return _elements(inner, names) if ok and isinstance(inner, (list, dict)) else [(None, value)]
     if isinstance(value, dict):
-        if value and all(isinstance(v, dict) or v is None for v in value.values()):
+        if value and all(isinstance(v, dict) or v is None for v in value.values()) and not names & value.keys():
             return list(value.items())
         return [(None, value)] if value else []
     if isinstance(value, list):
@@ -125,7 +157,7 @@ class _Shredder:
     def _form(self, name: str | None, v):
         """Containers become lists of (key, element); other lists too, without keys."""
         if name in self.containers:
-            return _elements(v)
+            return _elements(v, self.containers)
         return [(None, x) for x in v] if isinstance(v, list) else v
 
     def _learn(self, node: _Node, v) -> None:
@@ -214,6 +246,8 @@ class _Shredder:
     def __call__(self, value):
         """{path: (max_rep, max_def, reps, defs, vals)} of one record."""
         root, out = _Node("", 0, 0), {}
+        if self.wanted("$"):
+            out["$"] = (0, 0, [0], [0], [_kind(value)])  # the record itself, which may hold nothing else
         self._learn(root, value)
         if self._place(root, out):
             self._emit(root, value, 0)
@@ -236,6 +270,7 @@ def shred(df: DataFrame, record: str, payload: str | Column, containers: Sequenc
     names = tuple(containers)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))  # frames of Python lie on the heap
         sh = _Shredder(names, keep)
         for pdf in batches:
             got = []
@@ -251,26 +286,41 @@ def shred(df: DataFrame, record: str, payload: str | Column, containers: Sequenc
     return rows.mapInPandas(run, STRIPES)
 
 
-def entries(stripes: DataFrame, depth: int) -> DataFrame:
+ENTRIES = "record long, path string, max_rep int, max_def int, pos int, rep int, def int, value string, place array<long>"
+
+
+def _places(rep: np.ndarray, most: np.ndarray) -> pa.ListArray:
+    """The place of each entry in each of its ``most`` repeated ancestors: at level k, entries that begin an element there since the last that began one above."""
+    n, at = len(rep), np.arange(len(rep))
+    place = np.zeros((n, int(most.max(initial=0))), dtype=np.int64)
+    for k in range(1, place.shape[1] + 1):
+        count = np.cumsum(rep <= k)
+        place[:, k - 1] = count - count[np.maximum.accumulate(np.where(rep < k, at, 0))]
+    offsets = np.concatenate(([0], np.cumsum(most)))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(place[np.arange(place.shape[1]) < most[:, None]], pa.int64()))
+
+
+def entries(stripes: DataFrame, rows: int = 256) -> DataFrame:
     """One row per entry, with its place in each repeated ancestor (``place``, outermost first).
 
-    ``depth`` is the largest ``max_rep`` at hand. The running counts stay within one record and
-    path, so one exchange by these serves them all.
+    A stripe holds all entries of a record's leaf, so places come from its own levels and nothing is shuffled. ``rows`` stripes are
+    worked on at a time.
     """
-    e = stripes.select("record", "path", "max_rep", "max_def", F.posexplode(F.arrays_zip("reps", "defs", "vals")).alias("pos", "e"))
-    e = e.select("record", "path", "max_rep", "max_def", "pos", F.col("e.reps").alias("rep"), F.col("e.defs").alias("def"), F.col("e.vals").alias("value"))
-    w = Window.partitionBy("record", "path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    for k in range(1, depth + 1):
-        e = e.withColumn(f"_c{k}", F.sum(F.when(F.col("rep") <= k, 1).otherwise(0)).over(w))
-    for k in range(1, depth + 1):
-        e = e.withColumn(f"_i{k}", F.col(f"_c{k}") - F.max(F.when(F.col("rep") < k, F.col(f"_c{k}"))).over(w))
-    place = F.slice(F.array(*(F.col(f"_i{k}") for k in range(1, depth + 1))), 1, F.col("max_rep")) if depth else F.array().cast("array<bigint>")
-    return e.select("record", "path", "max_rep", "max_def", "pos", "rep", "def", "value", place.alias("place"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, rows):
+                b = whole.slice(a, rows)
+                lists = {c: b.column(c).flatten() for c in ("reps", "defs", "vals")}
+                n = pc.list_value_length(b.column("reps")).to_numpy(zero_copy_only=False).astype(np.int64)
+                of = np.repeat(np.arange(b.num_rows), n)
+                most = b.column("max_rep").to_numpy()[of]
+                pos = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                head = [b.column(c).take(pa.array(of)) for c in ("record", "path", "max_rep", "max_def")]
+                got = [*head, pa.array(pos, pa.int32()), lists["reps"], lists["defs"], lists["vals"], _places(lists["reps"].to_numpy(zero_copy_only=False), most)]
+                yield pa.RecordBatch.from_arrays(got, ["record", "path", "max_rep", "max_def", "pos", "rep", "def", "value", "place"])
 
-def depth_of(stripes: DataFrame) -> int:
-    """The most repeated steps of any path (one aggregate)."""
-    return stripes.agg(F.max("max_rep")).first()[0] or 0
+    return stripes.select("record", "path", "max_rep", "max_def", "reps", "defs", "vals").mapInArrow(run, ENTRIES)
 
 
 BOX = r"^bbox\[\](\.bbox\[\])*"
@@ -329,7 +379,7 @@ def pages(e: DataFrame, records: DataFrame | None = None) -> DataFrame:
 
     ``records``: a frame with a column ``record`` of all pages, where ``e`` may lack those without a top-level scalar.
     """
-    at = e.filter((F.col("max_rep") == 0) & (F.col("def") == F.col("max_def")))
+    at = e.filter((F.col("max_rep") == 0) & (F.col("def") == F.col("max_def")) & (F.col("path") != "$"))
     g = at.groupBy("record").agg(F.array_sort(F.collect_list(F.struct(F.col("path").alias("key"), F.col("value").alias("value")))).alias("f"))
     known = (e if records is None else records).select("record").distinct()
     m = F.map_from_entries(F.coalesce(F.col("f"), F.array().cast("array<struct<key:string,value:string>>")))
@@ -347,7 +397,7 @@ def pages(e: DataFrame, records: DataFrame | None = None) -> DataFrame:
 
 
 #: Leaves that no other table holds: not the id and data of a box, its coordinates, or the markers.
-LEFT = r"^(?!bbox\[\](\.bbox\[\])*\.(id|data|[xy]\[\])$)(?!.*\[\]\.\$$)"
+LEFT = r"^(?!\$$)(?!bbox\[\](\.bbox\[\])*\.(id|data|[xy]\[\])$)(?!.*\[\]\.\$$)"
 
 
 def leaves(e: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ def _walk(container, prefix=""):
         except ValueError:
             return
     if isinstance(container, dict):
-        container = list(container.values()) if container and all(isinstance(v, dict) or v is None for v in container.values()) else [container] if container else []
+        container = list(container.values()) if container and "bbox" not in container and all(isinstance(v, dict) or v is None for v in container.values()) else [container] if container else []
     for i, e in enumerate(container or []):
         if isinstance(e, dict):
             yield f"{prefix}{i}"
@@ -27,6 +27,7 @@ PAYLOADS = [
     {"bbox": {"id": 5, "x": 3, "note": {"k": [1, [2]]}}},
     {"bbox": {"0": {"id": 1}, "1": None, "10": {"id": 3}, "2": {"id": 4, "bbox": "[{\"id\": 9}]"}}},
     {"bbox": json.dumps([{"id": 1}, {"id": 2}])},
+    {"bbox": {"bbox": {"id": 1}}}, {"bbox": {"bbox": [{"bbox": {"bbox": {}}}]}},
     {"bbox": None}, {"bbox": []}, {"Images": None}, {"bbox": "no boxes"}, {"bbox": [3, "x", [1]]},
 ]
 
@@ -38,7 +39,7 @@ def _frame(spark, texts):
 def test_places_equal_walk(spark):
     texts = [json.dumps(p, ensure_ascii=False) for p in PAYLOADS] + ["﻿" + json.dumps(PAYLOADS[0]) + "​", "{\"bbox\": [", "", None, "null", "[1]", json.dumps(json.dumps(PAYLOADS[0]))]
     s = S.shred(_frame(spark, texts), "page_id", "payload").cache()
-    got = {(r["page_id"], r["box_path"]) for r in S.box_places(S.entries(s, S.depth_of(s))).collect()}
+    got = {(r["page_id"], r["box_path"]) for r in S.box_places(S.entries(s)).collect()}
     want = {(i, b) for i, p in enumerate(PAYLOADS) for b in _walk(p.get("bbox"))}
     n = len(PAYLOADS)
     want |= {(i, b) for i in (n, n + 6) for b in _walk(PAYLOADS[0]["bbox"])}
@@ -47,7 +48,7 @@ def test_places_equal_walk(spark):
 
 def test_tables_link_and_lose_nothing(spark):
     s = S.shred(_frame(spark, [json.dumps(PAYLOADS[0])]), "page_id", "payload").cache()
-    e = S.entries(s, S.depth_of(s)).cache()
+    e = S.entries(s).cache()
     b = {r["box_path"]: r for r in S.boxes(e).collect()}
     assert b["2.1.0"]["parent_path"] == "2.1" and b["0"]["parent_path"] is None and b["0"]["data"] == "가" and b["2.0"]["id"] == "2"
     assert [(r["box_path"], r["point"], r["x"], r["y"]) for r in S.points(e).orderBy("box_path", "point").collect()] == [("0", 0, 1.0, 3.5), ("0", 1, 2.0, 4.0)]
@@ -66,9 +67,9 @@ def test_levels_follow_definition():
 def test_long_page_and_empty_table(spark):
     big = json.dumps({"bbox": [{"id": i, "bbox": [{"id": 0}] * 3} for i in range(5000)]})
     s = S.shred(_frame(spark, [big]), "page_id", "payload")
-    assert S.box_places(S.entries(s, 2)).count() == 20000
+    assert S.box_places(S.entries(s)).count() == 20000
     empty = S.shred(_frame(spark, [big]).limit(0), "page_id", "payload")
-    assert S.depth_of(empty) == 0 and S.box_places(S.entries(empty, 0)).count() == 0
+    assert S.box_places(S.entries(empty)).count() == 0 and S.pages(S.entries(empty)).count() == 0
 
 
 def test_remaining_leaves(spark):
@@ -86,8 +87,32 @@ def test_remaining_leaves(spark):
     }
     for keep in (None, S.LEFT):
         s = S.shred(d, "page_id", "payload", keep=keep).cache()
-        got = [tuple(r) for r in S.leaves(S.entries(s, S.depth_of(s))).collect()]
+        got = [tuple(r) for r in S.leaves(S.entries(s)).collect()]
         assert set(got) == want and len(got) == len(want)
     s = S.shred(d, "page_id", "payload").cache()
-    p = {r["page_id"]: r for r in S.pages(S.entries(s.filter("max_rep = 0"), 0), s).collect()}
+    p = {r["page_id"]: r for r in S.pages(S.entries(s.filter("max_rep = 0")), s).collect()}
     assert set(p) == {0, 1} and (p[0]["type"], p[0]["pen_type"], p[1]["type"]) == ("t", "ink", None)
+
+
+def test_deep_nesting(spark):
+    """Records nested deeper than the interpreter's usual limit are shredded like others."""
+    note, boxes, n = "1", "{}", 1500
+    for _ in range(n):
+        note, boxes = '{"k": ' + note + "}", '{"bbox": [' + boxes + "]}"
+    far = "[" * 30_000 + "]" * 30_000
+    s = S.shred(_frame(spark, ['{"bbox": [{"id": 4, "note": ' + note + "}]}", boxes, '{"bbox": [{"id": 7, "far": ' + far + "}]}"]), "page_id", "payload", keep=S.BOX + r"\.(\$|id)$").cache()
+    got = S.box_places(S.entries(s)).collect()
+    assert sorted(r["page_id"] for r in got) == [0] + [1] * n + [2]
+    assert max((r["box_path"] for r in got), key=len) == ".".join(["0"] * n)
+
+
+def test_repeated_names_are_kept(spark):
+    s = S.shred(_frame(spark, ['{"a": 1, "b": 2, "a": 3, "a": 4, "bbox": [{"id": 1, "id": 2}]}']), "page_id", "payload").cache()
+    e = S.entries(s).cache()
+    assert {(r["path"], r["value"]) for r in S.leaves(e).collect()} == {("a", "4"), ("a$1", "1"), ("a$2", "3"), ("b", "2"), ("bbox[].id$1", "1")}
+    assert S.boxes(e).first()["id"] == "2"
+
+
+def test_pages_without_fields_are_pages(spark):
+    s = S.shred(_frame(spark, ["{}", '{"bbox": []}', '{"Images": null}', "[1]", "x"]), "page_id", "payload")
+    assert {r["page_id"] for r in S.pages(S.entries(s)).collect()} == {0, 1, 2}
