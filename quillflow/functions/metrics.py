@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillflow.functions.text import canonical, punctuation_insensitive
+
 SPANS = T.ArrayType(
     T.StructType(
         [
@@ -87,6 +89,16 @@ def sample_class(scored: str | Column, reference: str | Column, answer: str | Co
     return F.when(_c(reference) == _c(answer), "error_preserved").when(F.exists(_c(scored), lambda s: s["outcome"] == "over_corrected"), "over_corrected").otherwise("other_recognition_error")
 
 
+def error_flags(reference: str | Column, corrected: str | Column, answer: str | Column) -> Column:
+    """A struct on texts without punctuation: both distances, CER, whether the answer is the corrected text, and whether only punctuation sets it apart from the reference."""
+    r, k, a = (punctuation_insensitive(x) for x in (reference, corrected, answer))
+    d = distance(r, a)
+    return F.struct(
+        d.alias("distance_to_ground_truth"), distance(k, a).alias("distance_to_corrected"), (d / F.greatest(F.lit(1), F.length(r))).alias("cer"), (a == k).alias("exact_corrected_match"),
+        ((a == r) & (canonical(answer) != canonical(reference))).alias("punctuation_only_difference"),
+    )
+
+
 def percent(part: Column, whole: Column) -> Column:
     """100 * part / whole; 0 where the whole is 0."""
     return F.when(whole != 0, 100.0 * part / F.when(whole != 0, whole).otherwise(1)).otherwise(0.0)

@@ -18,6 +18,9 @@ BLANKS = r"(?U)[\s\x1c-\x1f]+"
 #: Marks that take no room.
 INVISIBLE = r"[\p{Cf}\u115F\u1160\u3164\uFFA0\uFE00-\uFE0F\u034F\u180B-\u180D]"
 
+#: Texts of these alone are composed: no character of them takes part in composition or has another form.
+COMPOSED = r"^[\x00-˿​‐-‧、-〩〱-ゖァ-ヺㄱ-ㆎ一-鿿가-힣﻿！-～]*$"
+
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
 
@@ -40,7 +43,9 @@ def collapse(c: str | Column) -> Column:
 def canonical(c: str | Column, compose: bool = True) -> Column:
     """NFC, without U+200B and U+FEFF, blanks collapsed; null becomes ''."""
     s = F.coalesce(_c(c), F.lit(""))
-    return collapse(F.translate(nfc(s) if compose else s, "\u200b\ufeff", ""))
+    if compose:  # only texts that may hold something to compose leave the JVM
+        s = F.coalesce(nfc(F.when(~s.rlike(COMPOSED), s)), s)
+    return collapse(F.translate(s, "\u200b\ufeff", ""))
 
 
 def punctuation_insensitive(c: str | Column, compose: bool = True) -> Column:
@@ -48,13 +53,18 @@ def punctuation_insensitive(c: str | Column, compose: bool = True) -> Column:
     return collapse(F.regexp_replace(canonical(c, compose), r"\p{P}", ""))
 
 
+# What a model writes before its answer, and the quotes it puts around it.
+LABEL = r"(인식(된)?\s*(결과|텍스트)|출력|텍스트)\s*[:：]\s*"
+QUOTES = ('"', "'", "“", "”")
+
+
 def clean_prediction(c: str | Column, compose: bool = True) -> Column:
     """A model's answer without thoughts, code fence, leading label and one pair of equal quotes; canonical."""
-    s = F.regexp_replace(F.coalesce(_c(c), F.lit("")), r"(?is)<think>.*?</think>", "")
-    s = F.regexp_replace(F.trim(collapse_ends(s)), r"(?is)^```[a-z0-9_-]*\s*(.*?)\s*```$", "$1")
-    s = F.regexp_replace(collapse_ends(s), r"(?i)^(인식 결과|출력|텍스트|text|output|result)\s*[:：]\s*", "")
-    s = collapse_ends(s)
-    q = (F.length(s) >= 2) & (F.substring(s, 1, 1) == F.substring(s, -1, 1)) & F.substring(s, 1, 1).isin('"', "'", "`")
+    s = collapse_ends(F.regexp_replace(F.coalesce(_c(c), F.lit("")), r"(?s)<think>.*?</think>", ""))
+    fenced = s.startswith("```") & s.endswith("```")
+    s = F.when(fenced, F.regexp_replace(s, r"(?iU)^```(text)?\s*|\s*```$", "")).otherwise(s)
+    s = F.regexp_replace(collapse_ends(s), "(?U)^" + LABEL, "")
+    q = (F.length(s) >= 2) & (F.substring(s, 1, 1) == F.substring(s, -1, 1)) & F.substring(s, 1, 1).isin(*QUOTES)
     return canonical(F.when(q, F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(s), compose)
 
 

@@ -58,11 +58,13 @@ def explode_boxes(pages: DataFrame, page: str = "page_id", strict: bool = False)
 LINES = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("box", "line", "place")]))
 #: The two ways at hand: floor of the tolerance in pixels, and how a line's centre follows its boxes.
 PRESETS = {"analysis": (10.0, mean), "build": (8.0, median)}
+#: Where boxes of a line begin at one place: by their place in the page, or by their id as text.
+BY_ID = {"build"}
 
 
-def _grouped(boxes: list[tuple], floor: float, share: float, centre) -> list[tuple[int, int, int]]:
-    """(box, line, place) of one page's boxes, given as (ymin, ymax, xmin, xmax, box)."""
-    rows = sorted(((b[0] + b[1]) / 2, (b[2] + b[3]) / 2, b[4], b[2]) for b in boxes)
+def _grouped(boxes: list[tuple], floor: float, share: float, centre, by_id: bool) -> list[tuple[int, int, int]]:
+    """(box, line, place) of one page's boxes, given as (ymin, ymax, xmin, xmax, box, id)."""
+    rows = sorted(((b[0] + b[1]) / 2, (b[2] + b[3]) / 2, b[4], b[2], str(b[5]) if by_id else "") for b in boxes)
     tolerance = max(floor, share * median(b[1] - b[0] for b in boxes))
     lines: list[list] = []
     middles: list[float] = []
@@ -76,22 +78,23 @@ def _grouped(boxes: list[tuple], floor: float, share: float, centre) -> list[tup
             lines.append([r])
             middles.append(r[0])
     order = sorted(range(len(lines)), key=middles.__getitem__)
-    return [(m[2], line, place) for line, k in enumerate(order) for place, m in enumerate(sorted(lines[k], key=lambda m: (m[3], m[2])))]
+    return [(m[2], line, place) for line, k in enumerate(order) for place, m in enumerate(sorted(lines[k], key=lambda m: (m[3], m[4], m[2] if not by_id else (m[0], m[1], m[2]))))]
 
 
 def group_lines(boxes: DataFrame, preset: str = "build", share: float = 0.6) -> DataFrame:
     """(page, box, line, place): lines from top to bottom and places from left to right, both 0-based.
 
-    ``boxes``: page, box and hull of usable boxes. A page's boxes travel as one array.
+    ``boxes``: page, box, hull and, for the build preset, id of usable boxes. A page's boxes travel as one array.
     """
     floor, centre = PRESETS[preset]
+    by_id = preset in BY_ID and "id" in boxes.columns
 
     @F.pandas_udf(LINES)
     def run(pages: pd.Series) -> pd.Series:
-        return pd.Series([_grouped([(b["ymin"], b["ymax"], b["xmin"], b["xmax"], b["box"]) for b in p], floor, share, centre) for p in pages], dtype=object)
+        return pd.Series([_grouped([(b["ymin"], b["ymax"], b["xmin"], b["xmax"], b["box"], b["id"]) for b in p], floor, share, centre, by_id) for p in pages], dtype=object)
 
     h = F.col("hull")
-    one = F.struct(h["ymin"].alias("ymin"), h["ymax"].alias("ymax"), h["xmin"].alias("xmin"), h["xmax"].alias("xmax"), F.col("box").cast("int").alias("box"))
+    one = F.struct(h["ymin"].alias("ymin"), h["ymax"].alias("ymax"), h["xmin"].alias("xmin"), h["xmax"].alias("xmax"), F.col("box").cast("int").alias("box"), (F.col("id") if by_id else F.lit(None)).cast("string").alias("id"))
     per = boxes.filter("hull IS NOT NULL").groupBy(F.col("page").cast("long").alias("page")).agg(F.collect_list(one).alias("boxes"))
     return per.select("page", F.explode(run("boxes")).alias("m")).select("page", "m.*")
 

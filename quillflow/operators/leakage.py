@@ -29,8 +29,9 @@ def _tagged(name: str, cols: Sequence[Column]) -> Column:
 
 def overlap_flags(left: DataFrame, row: str, left_families: Families, right: DataFrame, right_families: Families) -> DataFrame:
     """(row, one boolean per family): rows of the left that hit the right in any family."""
-    taken = key_rows(right.withColumn("_r", F.lit(0)), "_r", right_families).select("family", "key").distinct()
-    hit = key_rows(left, row, left_families).join(taken, ["family", "key"], "left_semi")
+    short = [F.xxhash64("key").alias("k1"), F.xxhash64(F.lit("second"), "key").alias("k2")]  # 128 bits travel in place of texts
+    taken = key_rows(right.withColumn("_r", F.lit(0)), "_r", right_families).select("family", *short).distinct()
+    hit = key_rows(left, row, left_families).select("row", "family", *short).join(taken, ["family", "k1", "k2"], "left_semi")
     return hit.groupBy("row").agg(*(F.max(F.col("family") == f).alias(f) for f in left_families)).withColumnRenamed("row", row)
 
 

@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 
 from quillflow.functions import text as X
 
-#: Runs that look like personal data.
+# Runs that look like personal data.
 PERSONAL = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
-    "phone": r"(^|[^0-9])0[0-9]{1,2}[-. ]?[0-9]{3,4}[-. ]?[0-9]{4}([^0-9]|$)",
-    "resident_number": r"(^|[^0-9])[0-9]{6}-?[1-4][0-9]{6}([^0-9]|$)",
+    "email": r"(?iU)\b[\w.+-]+@[\w.-]+\.[a-z]{2,}\b",
+    "phone": r"(?<![0-9])(01[016789][- ]?[0-9]{3,4}[- ]?[0-9]{4}|0[0-9]{1,2}[- ]?[0-9]{3,4}[- ]?[0-9]{4})(?![0-9])",
+    "resident_number": r"(?<![0-9])[0-9]{6}[- ]?[1-4][0-9]{6}(?![0-9])",
     "long_digits": r"[0-9]{7,}",
-    "url": r"(?i)(https?://|www\.)[^ ]+",
+    "url": r"(?iU)(https?://|www\.)\S+",
 }
-#: A sentence's end.
+# What a text for recognition must not hold; digits are counted without blanks.
+EMAIL_LIKE, LONG_DIGITS = r"(?U)[^\s@]+@[^\s@]+\.[^\s@]+", r"(?U)\d{7,}"
+# Fixed value: a sentence's end.
 TERMINAL = r"[.!?。！？]\s*$"
 
 
@@ -60,8 +62,8 @@ def text_rules(text: str, least: int = 2, script: str = "[가-힣]", digits: flo
         Rule("empty", X.collapse(t) == ""),
         Rule("too_short", X.nonspace_length(t) < least),
         Rule("not_in_script", ~t.rlike(script)),
-        Rule("email_like", t.rlike(PERSONAL["email"])),
-        Rule("long_digit_sequence", t.rlike(PERSONAL["long_digits"])),
+        Rule("email_like", t.rlike(EMAIL_LIKE)),
+        Rule("long_digit_sequence", X.nonspace(t).rlike(LONG_DIGITS)),
         Rule("digit_ratio", X.digit_ratio(t) > digits),
     ]
 

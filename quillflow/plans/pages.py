@@ -24,7 +24,7 @@ R = Registry()
     "rejection_cascade",
     f"""
     SELECT coalesce(model_name, '<MISSING>') AS model_name, CASE WHEN prediction IS NULL THEN 'non_string' WHEN trim(regexp_replace(prediction, '{S.BLANK}+', ' ', 'g')) = '' THEN 'empty' WHEN length({S.bare('prediction')}) < 2 THEN 'too_short'
-      WHEN NOT regexp_matches(prediction, '[가-힣]') THEN 'not_in_script' WHEN regexp_matches(prediction, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+') THEN 'email_like' WHEN regexp_matches(prediction, '[0-9]{{7,}}') THEN 'long_digit_sequence'
+      WHEN NOT regexp_matches(prediction, '[가-힣]') THEN 'not_in_script' WHEN regexp_matches(prediction, '[^\\s@]+@[^\\s@]+\\.[^\\s@]+') THEN 'email_like' WHEN regexp_matches({S.bare('prediction')}, '\\p{{Nd}}{{7,}}') THEN 'long_digit_sequence'
       WHEN CAST({S.count_of('prediction', chr(92) + 'p{Nd}')} AS DOUBLE) / greatest(1, length({S.bare('prediction')})) > 0.2 THEN 'digit_ratio' ELSE 'accepted' END AS reason, count(*) AS n
     FROM strict_error_prediction GROUP BY 1, 2
     """,
@@ -53,8 +53,9 @@ def line_flags(spark: SparkSession, sf: str) -> DataFrame:
 @R.add(
     "personal_data",
     """
-    SELECT line_id, regexp_matches(g, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+') OR regexp_matches(g, '(^|[^0-9])0[0-9]{1,2}[-. ]?[0-9]{3,4}[-. ]?[0-9]{4}([^0-9]|$)') OR regexp_matches(g, '(^|[^0-9])[0-9]{6}-?[1-4][0-9]{6}([^0-9]|$)')
-      OR regexp_matches(g, '[0-9]{7,}') OR regexp_matches(g, '(?i)(https?://|www\\.)[^ ]+') AS personal, regexp_matches(g, '[.!?。！？]\\s*$') AS terminal FROM (SELECT line_id, coalesce(ground_truth, '') AS g FROM line_record)
+    SELECT line_id, regexp_matches(g, '(?i)[\\p{L}\\p{N}_][\\p{L}\\p{N}_.+-]*@[\\p{L}\\p{N}_.-]+\\.[a-z]{2,}([^\\p{L}\\p{N}_]|$)') OR regexp_matches(g, '(^|[^0-9])(01[016789][- ]?[0-9]{3,4}[- ]?[0-9]{4}|0[0-9]{1,2}[- ]?[0-9]{3,4}[- ]?[0-9]{4})([^0-9]|$)')
+      OR regexp_matches(g, '(^|[^0-9])[0-9]{6}[- ]?[1-4][0-9]{6}([^0-9]|$)') OR regexp_matches(g, '[0-9]{7,}') OR regexp_matches(g, '(?i)(https?://|www\\.)\\S+') AS personal,
+      regexp_matches(g, '[.!?。！？]\\s*$') AS terminal FROM (SELECT line_id, coalesce(ground_truth, '') AS g FROM line_record)
     """,
 )
 def personal_data(spark: SparkSession, sf: str) -> DataFrame:

@@ -93,7 +93,21 @@ def class_examples(spark: SparkSession, sf: str) -> DataFrame:
     return W.first_k(_strict(spark, sf).select("class", "pred_id"), ["class"], ["pred_id"], 20).select("class", "rank", "pred_id")
 
 
-@R.add("strict_scores")
+_DISTANCES = f"""
+    WITH t AS (SELECT pred_id, coalesce(ground_truth, '') AS g, coalesce(corrected_text, '') AS k, coalesce(prediction, '') AS t2 FROM strict_error_prediction),
+    u AS (SELECT DISTINCT g AS t1, t2 FROM t UNION SELECT DISTINCT k, t2 FROM t), l AS (SELECT t1, t2, CASE WHEN t1 = t2 THEN 0 WHEN t1 = '' OR t2 = '' THEN length(t1) + length(t2) ELSE {S.lev('t1', 't2')} END AS d FROM u)
+"""
+
+
+@R.add(
+    "strict_scores",
+    _DISTANCES
+    + f"""
+    SELECT pred_id, t.t2 = g AS error_preserved, t.t2 = k AS over_corrected, t.t2 <> g AND t.t2 <> k AS recognition_error, {STRICT.format(p='t.t2', g='g', k='k')} AS classification, a.d AS distance_to_ground_truth, b.d AS distance_to_corrected,
+      CAST(a.d AS DOUBLE) / greatest(1, length(g)) AS cer, CASE WHEN a.d < b.d THEN 'ground_truth' WHEN b.d < a.d THEN 'corrected' ELSE 'tie' END AS closer_to
+    FROM t JOIN l a ON a.t1 = g AND a.t2 = t.t2 JOIN l b ON b.t1 = k AND b.t2 = t.t2
+    """,
+)
 def strict_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Distances, class and nearer text of every answer."""
     t = table(spark, sf, "strict_error_prediction")
@@ -104,11 +118,34 @@ def _spans(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "strict_error_prediction").filter("ground_truth IS NOT NULL AND corrected_text IS NOT NULL").select(
         "pred_id", "model_name", X.punctuation_insensitive("ground_truth").alias("g"), X.punctuation_insensitive("corrected_text").alias("k"), X.punctuation_insensitive(X.clean_prediction("raw_prediction")).alias("p")
     )
-    t = t.filter("g <> k").withColumn("spans", M.correction_spans("g", "k"))
-    t = t.withColumn("scored", M.score_spans("spans", "g", "p"))
+    t = t.filter("g <> k")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # aligning costs much more than its bytes say, so they must not set the number
+    pairs = t.select("g", "k").repartition(parts, "g", "k").distinct().withColumn("spans", M.correction_spans("g", "k"))  # each different pair once
+    t = t.join(pairs, ["g", "k"]).withColumn("scored", M.score_spans("spans", "g", "p"))
     return t.withColumn("class", M.sample_class("scored", "g", "p"))
 
 
+@R.add(
+    "error_flags",
+    f"""
+    WITH t AS (SELECT pred_id, {S.nopunct('ground_truth')} AS g, {S.nopunct('corrected_text')} AS k, {S.nopunct('prediction')} AS t2, {S.canon('ground_truth')} AS cg, {S.canon('prediction')} AS cp FROM strict_error_prediction WHERE ground_truth IS NOT NULL AND corrected_text IS NOT NULL),
+    c AS (SELECT * FROM t WHERE g <> k), u AS (SELECT DISTINCT g AS t1, t2 FROM c UNION SELECT DISTINCT k, t2 FROM c), l AS (SELECT t1, t2, CASE WHEN t1 = t2 THEN 0 WHEN t1 = '' OR t2 = '' THEN length(t1) + length(t2) ELSE {S.lev('t1', 't2')} END AS d FROM u)
+    SELECT pred_id, a.d AS distance_to_ground_truth, b.d AS distance_to_corrected, CAST(a.d AS DOUBLE) / greatest(1, length(g)) AS cer, c.t2 = k AS exact_corrected_match, c.t2 = g AND cp <> cg AS punctuation_only_difference
+    FROM c JOIN l a ON a.t1 = g AND a.t2 = c.t2 JOIN l b ON b.t1 = k AND b.t2 = c.t2
+    """,
+)
+def error_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Distances and flags of each answer whose texts differ by more than punctuation."""
+    t = table(spark, sf, "strict_error_prediction").filter("ground_truth IS NOT NULL AND corrected_text IS NOT NULL")
+    t = t.filter(X.punctuation_insensitive("ground_truth") != X.punctuation_insensitive("corrected_text"))
+    return t.select("pred_id", M.error_flags("ground_truth", "corrected_text", "prediction").alias("f")).select("pred_id", "f.*")
+
+
+@R.add("clean_answers", f"SELECT pred_id, {S.clean_answer('raw_prediction')} AS answer FROM strict_error_prediction")
+def clean_answers(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "strict_error_prediction").select("pred_id", X.clean_prediction("raw_prediction").alias("answer"))
+
+
 @R.add("span_outcomes")
 def span_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """Per model: spans by outcome, and rows by class."""

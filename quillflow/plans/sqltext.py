@@ -13,6 +13,16 @@ def nopunct(x: str) -> str:
     return f"trim(regexp_replace(regexp_replace({canon(x)}, '\\p{{P}}', '', 'g'), '{BLANK}+', ' ', 'g'))"
 
 
+def clean_answer(x: str) -> str:
+    """An answer without thoughts, fence, label and quotes; canonical."""
+    ends = lambda s: f"regexp_replace({s}, '^{BLANK}+|{BLANK}+$', '', 'g')"
+    bare_ = ends(f"regexp_replace(coalesce({x}, ''), '(?s)<think>.*?</think>', '', 'g')")
+    unfenced = f"(SELECT CASE WHEN starts_with(s, '```') AND ends_with(s, '```') THEN regexp_replace(s, '(?i)^```(text)?{BLANK}*|{BLANK}*```$', '', 'g') ELSE s END FROM (SELECT {bare_} AS s))"
+    said = f"regexp_replace({ends(unfenced)}, '^(인식(된)?{BLANK}*(결과|텍스트)|출력|텍스트){BLANK}*[:：]{BLANK}*', '')"
+    plain = f"""(SELECT CASE WHEN length(s) >= 2 AND left(s, 1) = right(s, 1) AND left(s, 1) IN ('"', '\'\'', '“', '”') THEN substring(s, 2, length(s) - 2) ELSE s END FROM (SELECT {said} AS s))""".replace("\\'\\'", "''")
+    return canon(plain)
+
+
 def bare(x: str) -> str:
     """Without blanks."""
     return f"regexp_replace(coalesce({x}, ''), '{BLANK}+', '', 'g')"
