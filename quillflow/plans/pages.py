@@ -244,8 +244,27 @@ def preview_ranking(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add("preview_mixed")
 def preview_mixed(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "line_record").select("line_id", "category", "sentence_score")
-    return Q.ranked_and_random(d, "line_id", "category", [F.col("sentence_score").desc_nulls_last()], 20, "preview")
+    """Structural lines for a preview: half by rank, half by hash order, every page at most once."""
+    d = table(spark, sf, "line_record")
+    d = d.filter((F.col("bbox_count") >= 3) & (X.nonspace_length("ground_truth") >= 10) & (F.col("hangul_ratio") >= 0.6) & (F.col("digit_ratio") <= 0.2) & F.col("category").isNotNull())
+    names = sorted(r["category"] for r in d.select("category").distinct().collect())  # a row per category
+    flag = lambda c: F.when(F.col(c), 0).otherwise(1)
+    rank = [flag("recommended_sentence_candidate"), flag("automatic_sentence_candidate"), F.col("sentence_score").desc_nulls_last(), F.col("bbox_count").desc(), F.col("identifier"), F.col("line_index")]
+    return Q.ranked_and_random(d, "line_id", "category", "identifier", rank, Q.even_quota(names, 100) if names else {}, "preview", strict=False)
+
+
+@R.add("training_pick")
+def training_pick(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines for training, one a page, of texts the benchmark does not have as long as there are such."""
+    return Q.select_training(table(spark, sf, "line_record"), "line_id", "identifier", "ground_truth", "line_index", 300, table(spark, sf, "benchmark_manifest"), "ground_truth", "training", strict=False)
+
+
+@R.add("category_pick")
+def category_pick(spark: SparkSession, sf: str) -> DataFrame:
+    """An even number of lines of each category; no page and no text twice."""
+    d = table(spark, sf, "line_record").filter("category IS NOT NULL")
+    names = sorted(r["category"] for r in d.select("category").distinct().collect())  # a row per category
+    return Q.quota_unique(d, "line_id", "category", "identifier", "ground_truth", Q.even_quota(names, 100) if names else {}, "crops", strict=False)
 
 
 @R.add(

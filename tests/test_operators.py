@@ -83,18 +83,123 @@ def test_ratio_sample(spark):
     assert len({(r["id"], r["epoch"]) for r in got}) == 21
 
 
-def test_greedy(spark):
+def _sha(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+def _round_robin(rows, n, cap, rounds):
+    """The plain way, over all candidates."""
+    groups = {}
+    for i, t, s, v in rows:
+        groups.setdefault(t, []).append((-v, _sha(f"42:ns:{t}:{i}"), i, s))
+    for g in groups.values():
+        g.sort()
+    used, taken, out = {}, set(), []
+    for r in range(rounds):
+        for t in sorted(groups, key=lambda t: (groups[t][r][0] if r < len(groups[t]) else 10**6, _sha(f"42:gt-round:{r}:{t}"))):
+            if r < len(groups[t]) and len(out) < n:
+                for _, _, i, s in groups[t]:
+                    if i not in taken and used.get(s, 0) < cap:
+                        taken.add(i)
+                        used[s] = used.get(s, 0) + 1
+                        out.append((i, r))
+                        break
+    return out
+
+
+def test_round_robin_equals_the_plain_way(spark):
     rnd = random.Random(1)
-    rows = [(i, f"t{rnd.randrange(12)}", f"s{rnd.randrange(5)}", rnd.random()) for i in range(80)]
+    rows = [(i, f"t{rnd.randrange(12)}", f"s{rnd.randrange(5)}", float(rnd.randrange(4))) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, text string, source string, score double")
-    got = Q.greedy_round_robin(df, "id", "text", "source", "score", 20, 6).collect()
+    for n, cap, rounds in ((20, 6, 8), (60, 3, 4), (30, 20, 8)):
+        got = [(r["id"], r["round"]) for r in Q.greedy_round_robin(df, "id", "text", "source", "score", n, cap, rounds, "ns", strict=False).collect()]
+        assert got == _round_robin(rows, n, cap, rounds)
+    with pytest.raises(Exception, match="can be picked"):
+        Q.greedy_round_robin(df, "id", "text", "source", "score", 500, 6).collect()
+
+
+def test_greedy_unique(spark):
+    rnd = random.Random(1)
+    rows = [(i, f"t{rnd.randrange(12)}", f"s{rnd.randrange(5)}") for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, text string, source string")
     by = {r[0]: r for r in rows}
-    assert len(got) == 20 == len({r["id"] for r in got}) and max(sum(by[r["id"]][2] == s for r in got) for s in {x[2] for x in rows}) <= 6
     u = Q.greedy_unique(df, "id", "source", "text").collect()
     assert len({by[r["id"]][1] for r in u}) == len(u) <= 5
     assert Q.greedy_unique(df.limit(0), "id", "source", "text").count() == 0
-    m = Q.ranked_and_random(df, "id", "source", [F.desc("score")], 4, "p").groupBy("source", "chosen_by").count().collect()
-    assert all(r["count"] == 2 for r in m)
+
+
+def test_select_training(spark):
+    rows = [(1, "a", "x", 0), (2, "a", "y", 1), (3, "b", "x", 0), (4, "c", "x", 0), (5, "c", "x", 1), (6, "d", "v", 0), (7, "e", "x", 3), (8, "e", "x", 2), (9, None, "q", 0), (10, "f", None, 0)]
+    d = spark.createDataFrame(rows, "id long, s string, t string, k int")
+    used = spark.createDataFrame([("v",), (None,)], "text string")
+    got = {r["id"]: r["fallback"] for r in Q.select_training(d, "id", "s", "t", "k", 5, used, "text", "n").collect()}
+    src = {r[0]: r[1] for r in rows}
+    assert sorted(src[i] for i in got) == ["a", "b", "c", "d", "e"]  # one a source
+    fresh = [i for i, f in got.items() if not f]
+    assert len({dict((r[0], r[2]) for r in rows)[i] for i in fresh}) == len(fresh) and 6 not in fresh and got[6]  # v is used already
+    assert not {5, 7} & {i for i, f in got.items() if f}  # of equal texts a fallback takes the first by place
+    with pytest.raises(Exception, match="only 5 of 6"):
+        Q.select_training(d, "id", "s", "t", "k", 6, used, "text", "n").collect()
+    assert Q.select_training(d.limit(0), "id", "s", "t", "k", 5, used, "text", "n", strict=False).count() == 0
+
+
+def _quota_unique(rows, quota):
+    sources, texts, out = set(), set(), set()
+    for g in sorted(quota):
+        n = 0
+        for s in sorted({r[2] for r in rows if r[1] == g and r[2]}, key=lambda s: _sha(f"n:{g}:{s}")):
+            mine = sorted((r for r in rows if r[1] == g and r[2] == s and r[3]), key=lambda r: _sha(f"n:{r[0]}"))
+            row = next((r for r in mine if r[3] not in texts), None)
+            if n < quota[g] and s not in sources and row:
+                sources.add(s), texts.add(row[3]), out.add((row[0], g))
+                n += 1
+    return out
+
+
+def test_quota_unique_equals_the_plain_way(spark):
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice("abc"), rnd.choice([None, *(f"s{k}" for k in range(25))]), rnd.choice([None, *(f"t{k}" for k in range(18))])) for i in range(300)]
+    d = spark.createDataFrame(rows, "id long, g string, s string, t string")
+    quota = {"a": 4, "b": 6, "c": 3}
+    got = {tuple(r) for r in Q.quota_unique(d, "id", "g", "s", "t", quota, "n").collect()}
+    assert got == _quota_unique(rows, quota) and len(got) == 13
+    with pytest.raises(Exception, match="can be picked"):
+        Q.quota_unique(d, "id", "g", "s", "t", {"a": 40}, "n").collect()
+
+
+def test_ranked_and_random_use_a_source_once(spark):
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice("abc"), f"s{rnd.randrange(30)}", rnd.randrange(9)) for i in range(400)]
+    d = spark.createDataFrame(rows, "id long, g string, s string, v int")
+    quota = {"a": 5, "b": 8, "c": 4}
+    got = Q.ranked_and_random(d, "id", "g", "s", [F.desc("v")], quota, "n").collect()
+    used, want = set(), set()
+    for g in sorted(quota):
+        mine, n = [r for r in rows if r[1] == g], 0
+        for how, most, key in (("rank", quota[g] // 2, lambda r: (-r[3], r[0])), ("random", quota[g], lambda r: _sha(f"n:{r[0]}"))):
+            for r in sorted(mine, key=key):
+                if n < most and r[2] not in used:
+                    used.add(r[2]), want.add((r[0], g, how))
+                    n += 1
+    assert {tuple(r) for r in got} == want
+    assert Q.ranked_and_random(d.limit(0), "id", "g", "s", [F.desc("v")], quota, "n", strict=False).count() == 0
+
+
+def test_quota_heads_are_taken_in_each_task(spark):
+    d = spark.range(1000).withColumn("g", F.when(F.col("id") < 900, "a").otherwise("b"))
+    plan = Q.take_quota(d, "id", "g", {"a": 3, "b": 99}, "x")._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_running_ratio_over_few_large_groups(spark):
+    d = spark.range(5000).selectExpr("id", "IF(id % 7 = 0, NULL, CAST(id % 2 AS STRING)) AS g", "id % 3 = 0 AS f").repartition(7)
+    got = {r["id"]: (r["seen"], r["flagged"]) for r in W.running_ratio(d, ["g"], ["id"], "f").collect()}
+    seen = {}
+    for i in range(5000):
+        g = None if i % 7 == 0 else i % 2
+        n, k = seen.get(g, (0, 0))
+        seen[g] = n + 1, k + (i % 3 == 0)
+        assert got[i] == seen[g]
 
 
 def test_windows(spark):
