@@ -323,6 +323,12 @@ def entries(stripes: DataFrame, rows: int = 256) -> DataFrame:
     return stripes.select("record", "path", "max_rep", "max_def", "reps", "defs", "vals").mapInArrow(run, ENTRIES)
 
 
+def profile(stripes: DataFrame) -> DataFrame:
+    """(path, records, entries, present): how many records have each leaf path, its entries, and those with a value; drift shows as paths of few records."""
+    there = F.size(F.filter(F.zip_with("defs", "vals", lambda d, v: (d == F.col("max_def")) & v.isNotNull()), lambda x: x))
+    return stripes.groupBy("path").agg(F.count_distinct("record").alias("records"), F.sum(F.size("defs")).alias("entries"), F.sum(there).alias("present"))
+
+
 BOX = r"^bbox\[\](\.bbox\[\])*"
 
 

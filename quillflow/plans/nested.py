@@ -94,6 +94,12 @@ def p4_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return S.boxes(_entries(spark, sf, S.BOX)).drop("other")
 
 
+@R.add("label_profile")
+def label_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """The fields of the labels as they arrived, by path: records, entries and values."""
+    return S.profile(S.shred(table(spark, sf, "label_raw").select("page_id", "payload"), "page_id", "payload"))
+
+
 @R.add("p4_leaves")
 def p4_leaves(spark: SparkSession, sf: str) -> DataFrame:
     """Every value that p4_boxes and p4_points do not hold."""

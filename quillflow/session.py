@@ -73,10 +73,15 @@ class Workspace:
         _delete(self.spark, f"{self.root}/{name}")
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's (file system, path): any store that Spark itself can reach."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = file_system(spark, path)
+    fs.delete(p, True)
 
 
 def _clean() -> None:

@@ -7,6 +7,7 @@ left over from a manifest, by id or by place.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,20 @@ def live_counts(stream: DataFrame, by: Sequence[str], name: str, checkpoint: str
     return (q.trigger(availableNow=True) if once else q).start()
 
 
+def progress(query: StreamingQuery) -> dict:
+    """Rows so far, rows a second of the last batch, and whether it still runs."""
+    batches = [json.loads(p.json) if hasattr(p, "json") and isinstance(p.json, str) else p for p in query.recentProgress]
+    last = batches[-1] if batches else {}
+    return {"batches": len(batches), "rows": sum(b["numInputRows"] for b in batches), "rows_per_second": last["processedRowsPerSecond"] if batches else 0.0, "active": query.isActive}
+
+
+def watch(query: StreamingQuery, show: Callable[[dict], None], every: float = 10.0) -> dict:
+    """Shows the progress every so many seconds until the query ends; a failure is raised."""
+    while not query.awaitTermination(every):
+        show(progress(query))
+    return progress(query)
+
+
 def windowed(stream: DataFrame, ts: str, width: str, late: str, *aggs: Column, by: Sequence[str] = ()) -> DataFrame:
     """Event-time windows with a watermark; works on batches too. An addition: prediction files themselves have no time axis."""
     return stream.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), *by).agg(*aggs).select("*", F.col("w.start").alias("window_start")).drop("w")
