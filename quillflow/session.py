@@ -12,7 +12,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 _OWNED: list[tuple[SparkSession, str]] = []
@@ -64,6 +65,12 @@ class Workspace:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.load(df, name)
 
+    def save_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """The same, with the number of rows, which the write itself counts."""
+        seen = Observation()
+        got = self.save(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        return got, seen.get["n"]
+
     def load(self, like: DataFrame, *names: str) -> DataFrame:
         """Read saved tables that share one schema as one."""
         return self.spark.read.schema(like.schema).parquet(*(f"{self.root}/{n}" for n in names))
