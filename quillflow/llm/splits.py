@@ -38,21 +38,21 @@ def contract(ws: Workspace, edges: DataFrame, max_rounds: int = 400) -> DataFram
 
     ``edges``: columns a, b, without loops. All vertices of a connected set end at one root.
     """
-    edges = ws.save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges0")
+    edges, left = ws.save_counted(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges0")
     hooks: list[DataFrame] = []
     rnd = 0
-    while not edges.isEmpty():
+    while left:
         if rnd == max_rounds:
             raise RuntimeError("contraction did not end; this has no chance to happen with fair coins")
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         mate = both.filter((_coin("a", rnd) == 0) & (_coin("b", rnd) == 1)).groupBy("a").agg(F.min("b").alias("to"))
         mate = ws.save(mate.select(F.col("a").alias("vertex"), "to"), f"hooks{rnd}")
         hooks.append(mate)
-        left, right = mate.select(F.col("vertex").alias("a"), F.col("to").alias("to_a")), mate.select(F.col("vertex").alias("b"), F.col("to").alias("to_b"))
-        moved = edges.join(left, "a", "left").join(right, "b", "left")
+        of_a, of_b = mate.select(F.col("vertex").alias("a"), F.col("to").alias("to_a")), mate.select(F.col("vertex").alias("b"), F.col("to").alias("to_b"))
+        moved = edges.join(of_a, "a", "left").join(of_b, "b", "left")
         moved = moved.select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b")).filter("a <> b")
         rnd += 1
-        edges = ws.save(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"edges{rnd}")
+        edges, left = ws.save_counted(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"edges{rnd}")
         ws.drop(f"edges{rnd - 1}")
     if not hooks:
         return edges.select(F.col("a").alias("vertex"), F.col("b").alias("label"))
