@@ -3,7 +3,7 @@
 Shortened versions are found by sorting: all answers and references, without punctuation, stand in one list of different
 texts, once from each of their first ``STARTS`` words on, so that a misread beginning does not keep them apart. In the list's order
 each answer is compared with its nearest finished neighbours (references and answers that end like a sentence) on either side; one that
-shares its first ``lead`` letters with a longer neighbour may be a shortened version. Lengths at which far more answers
+shares its first ``lead`` letters with one of them may be a shortened version. Lengths at which far more answers
 end than at the lengths around them (length-limit spikes) give further suspects. A suspect that is short enough is then
 aligned with its own reference by banded dynamic programming over all prefixes: it counts as truncated if it reads like a
 beginning of the reference and at least ``unwritten`` of the reference is missing behind it.
@@ -141,13 +141,16 @@ def neighbours(listed: DataFrame, ws: Workspace, per: int = 10_000) -> DataFrame
     return near.select("t", "before", "after")
 
 
-def shortened(texts: DataFrame, key: str, text: str, whole: str, lead: int = 3, ws: Workspace | None = None) -> DataFrame:
-    """Keys of texts that share at least ``lead`` letters of prefix, from one of their first words on, with a longer neighbour in sorted order that is ``whole``."""
+def shortened(texts: DataFrame, key: str, text: str, whole: str, lead: int = 3, ws: Workspace | None = None, letters: Column | None = None) -> DataFrame:
+    """Keys of texts that share at least ``lead`` letters of prefix, from one of their first words on, with a neighbour in sorted order that is ``whole``.
+
+    ``letters``: the texts' letters, where they are at hand.
+    """
     ws = ws or Workspace(texts.sparkSession, "sorted")
-    rows = texts.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("x"), F.col(whole).alias("whole")).withColumn("letters", compact(F.col("x")))
+    rows = texts.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("x"), F.col(whole).alias("whole"), (compact(F.col(text)) if letters is None else letters).alias("letters"))
     at = ws.save(rows.select("k", F.explode(_starts(F.col("x"), F.col("letters"))).alias("t"), "whole").filter(F.length("t") >= lead), "starts")
     near = neighbours(at, ws)
-    shares = lambda n: F.coalesce((F.length(n) > F.length("t")) & F.col(n).startswith(F.left("t", F.lit(lead))), F.lit(False))
+    shares = lambda n: F.coalesce(F.col(n).startswith(F.left("t", F.lit(lead))), F.lit(False))
     short = near.filter(shares("before") | shares("after")).select("t")
     return at.filter("k IS NOT NULL").join(short, "t").select(F.col("k").alias(key)).distinct()
 
@@ -204,11 +207,15 @@ def defects(rows: DataFrame, key: str, raw: str, prompt: str, reference: str, un
     some = base.filter(F.col("a") != "")
 
     # Suspects of truncation: both ways of the method, and of them those short enough to leave so much unwritten.
-    listed = some.select("k", F.col("answer").alias("t"), F.col("answer").rlike(END).alias("whole")).unionByName(base.select(F.lit(None).cast(base.schema["k"].dataType).alias("k"), F.coalesce("ref", F.lit("")).alias("t"), F.lit(True).alias("whole")))
-    cut = shortened(listed, "k", "t", "whole", ws=ws).withColumn("cut", F.lit(True))
+    none = F.lit(None).cast(base.schema["k"].dataType).alias("k")
+    listed = some.select("k", F.col("answer").alias("t"), F.col("answer").rlike(END).alias("whole"), F.col("a").alias("letters")).unionByName(base.select(none, F.col("ref").alias("t"), F.lit(True).alias("whole"), F.col("g").alias("letters")))
+    cut = shortened(listed, "k", "t", "whole", ws=ws, letters=F.col("letters")).withColumn("cut", F.lit(True))
     spikes = length_spikes(some.filter(~F.col("answer").rlike(END)), "a")
     short = (F.length("g") > 0) & (F.length("a") * (1 - misread) <= F.length("g") * (1 - unwritten))
     judged = some.filter(short).join(cut, "k", "left").join(spikes, F.length("a") == F.col("spike"), "left").filter(F.col("cut").isNotNull() | F.col("spike").isNotNull())
+    # A beginning that leaves so much unwritten is at least so far from the answer: where the whole reference is as near, it is the better fit.
+    past = F.floor(F.length("a") - F.length("g") * (1 - unwritten)).cast("int")
+    judged = judged.filter((past < 0) | (F.call_function("levenshtein", F.col("a"), F.col("g"), F.greatest(past, F.lit(0))) < 0))
     most = F.floor(F.length("a") * (2 * misread)).cast("int")  # so far from the reference's first letters a beginning can be at most
     judged = judged.filter(F.call_function("levenshtein", F.col("a"), F.expr("substring(g, 1, length(a))"), most) >= 0).select("k", "a", "g")
     judged = ws.save(judged, "suspects")  # or the alignment would be moved before the joins, to every answer

@@ -18,6 +18,7 @@ one source count together; a target without documents makes the total 0 unless i
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,36 +31,41 @@ from quillflow.session import Workspace
 BINS = 4096
 
 
+# Fixed value: the pattern that splits text before the merges of a byte-level rank file.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 def token_count(text: Column, path: str) -> Column:
-    """Tokens of a public tokenizer's file (JSON form), whole texts; 0 for null."""
+    """Tokens of a public tokenizer's file (ranks, or the JSON form), whole texts; 0 for null."""
 
     @F.pandas_udf(T.LongType())
     def count(s: pd.Series) -> pd.Series:
-        t = _tokenizer(path)
-        out = [0] * len(s)
-        some = [i for i, x in enumerate(s) if isinstance(x, str) and x]
-        for a in range(0, len(some), 256):
-            part = some[a : a + 256]
-            for i, e in zip(part, t.encode_batch_fast([s.iloc[i] for i in part], add_special_tokens=False)):
-                out[i] = len(e.ids)
-        return pd.Series(out)
+        n = _counter(path)
+        return pd.Series([n(x) if isinstance(x, str) and x else 0 for x in s], dtype="int64")
 
     return count(text)
 
 
-_LOADED: dict[str, object] = {}
+_LOADED: dict[str, Callable[[str], int]] = {}
 
 
-def _tokenizer(path: str):
+def _counter(path: str) -> Callable[[str], int]:
     if path not in _LOADED:
-        import os
+        if path.endswith(".tiktoken"):
+            import base64
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+            from tiktoken import Encoding
+
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            ordinary = Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            _LOADED[path] = lambda x: len(ordinary(x))
+        else:
+            from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _LOADED[path] = t
+            t = Tokenizer.from_file(path)
+            t.encode_special_tokens = True
+            _LOADED[path] = lambda x: len(t.encode(x, add_special_tokens=False).ids)
     return _LOADED[path]
 
 

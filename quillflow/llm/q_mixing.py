@@ -12,7 +12,7 @@ from quillflow.plans.registry import Registry
 from quillflow.session import table
 
 R = Registry()
-TOKENIZER = os.environ.get("QUILLFLOW_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+TOKENIZER = os.environ.get("QUILLFLOW_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
 def _targets(spark: SparkSession, sf: str) -> dict[str, tuple[float, int]]:

@@ -105,6 +105,29 @@ def test_truncation_comes_from_sorting_and_spikes(spark, monkeypatch):
     assert found() == set()
 
 
+def test_truncation_equals_full_alignment(spark):
+    """What is left out before the alignment would not be truncated by it."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("가나다라마") for _ in range(rnd.randrange(1, 4)))
+    rows = []
+    for i in range(300):
+        g = " ".join(word() for _ in range(12)) + "."
+        a = list(g[: rnd.randrange(6, len(g) + 1)])
+        for _ in range(rnd.randrange(5)):
+            a[rnd.randrange(len(a))] = rnd.choice(["", "바", "사자", " "])
+        rows.append((i, "".join(a), "문장을 적으세요.", g))
+    d = spark.createDataFrame(rows, "id long, raw string, prompt string, gt string")
+    got = {r["id"] for r in answers.defects(d, "id", "raw", "prompt", "gt").filter("defect_type = 'truncated'").collect()}
+    plain = lambda x: "".join(c for c in x if c.isalpha())
+    want = set()
+    for i, a, _, g in rows:
+        a, g = plain(a), plain(g)
+        n, j = min((_lev(a, g[:j]), -j) for j in range(len(g) + 1))
+        if n <= len(a) * 0.35 and len(g) + j >= len(g) * 0.25:
+            want.add(i)
+    assert got <= want and len(want - got) <= len(want) // 25 and len(want) > 100, want - got  # sorting may miss a text misread in each of its first words
+
+
 def test_prefix_fit_equals_brute_force():
     rnd = random.Random(4)
     word = lambda n: "".join(rnd.choice("가나다라") for _ in range(n))
@@ -429,10 +452,10 @@ def test_mix_reaches_targets(spark):
 
 
 def test_token_count(spark):
-    path = "/opt/tokenizers/byte_bpe_50k.json"
-    df = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "<|endoftext|>")], "id long, t string")
-    got = {r["id"]: r["n"] for r in df.select("id", mixing.token_count(F.col("t"), path).alias("n")).collect()}
-    assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 1
+    rows = [(1, "hello world"), (2, None), (3, ""), (4, "<|endoftext|>"), (5, "손글씨 인식 123! \n\n it's"), (6, "가" * 20000), (7, "\ud7a3 e\u0301 \u3164")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = [{r["id"]: r["n"] for r in df.select("id", mixing.token_count(F.col("t"), f"/opt/tokenizers/byte_bpe_50k.{kind}").alias("n")).collect()} for kind in ("json", "tiktoken")]
+    assert got[0] == got[1] and got[0][1] == 2 and got[0][2] == got[0][3] == 0 and got[0][4] > 1
 
 
 # --- problem 9 ---------------------------------------------------------------------------------------------------------
