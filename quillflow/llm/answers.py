@@ -66,7 +66,7 @@ def unwrap(raw: Column) -> Column:
     label = r"(?iu)^[\s\"'“”‘’*#>]*(" + "|".join(LABELS) + r")\s*[:：]\s*"
     s = collapse_ends(F.regexp_replace(collapse_ends(s), label, ""))
     s = F.regexp_replace(s, r"^[\"'“”‘’`]+|[\"'“”‘’`]+$", "")
-    return F.when(s.rlike(quotes), "").otherwise(collapse_ends(s))
+    return F.get(F.transform(F.array(s), lambda x: F.when(x.rlike(quotes), "").otherwise(collapse_ends(x))), F.lit(0))  # s is worked out once
 
 
 def compact(c: Column) -> Column:
@@ -231,7 +231,8 @@ def defects(rows: DataFrame, key: str, raw: str, prompt: str, reference: str, un
         return F.when(F.abs(F.length(x) - F.length(y)) > most, False).otherwise(within)
 
     head = F.substring(F.col("a"), F.lit(1), F.length("g"))
-    like = F.when(F.length("g") == 0, False).otherwise(near(head, F.col("g"), 0.5))
+    # Narrow bands first: most answers are told by them.
+    like = F.when(F.length("g") == 0, False).when(head == F.col("g"), True).when(near(head, F.col("g"), 0.1), True).otherwise(near(head, F.col("g"), 0.5))
     other = some.filter(~like)
     role = F.regexp_replace("answer", r"(?iu)^[\s\p{P}<>]*[\p{L} ]{1,14}\s*[:：\-–—]\s+", "")
     own = compact(role)
