@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillflow.llm.charforms import alone_jamo, one_form, pieces
+from quillflow.plans import sqltext as S
 from quillflow.plans.registry import Registry
 from quillflow.session import table
 
@@ -36,7 +37,15 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return _forms(t.filter("ground_truth <> prediction")).filter("g = p").select("pred_id")
 
 
-@R.add("p5_rescored")
+@R.add(
+    "p5_rescored",
+    f"""
+    WITH d AS (SELECT model_name, ground_truth AS g0, prediction AS p0, {_form_sql('ground_truth')} AS g1, {_form_sql('prediction')} AS p1 FROM ocr_prediction WHERE ground_truth IS NOT NULL AND prediction IS NOT NULL),
+    u AS (SELECT DISTINCT g0 AS t1, p0 AS t2 FROM d UNION SELECT DISTINCT g1, p1 FROM d), l AS (SELECT t1, t2, CASE WHEN t1 = t2 THEN 0 WHEN t1 = '' OR t2 = '' THEN length(t1) + length(t2) ELSE {S.lev('t1', 't2')} END AS dist FROM u)
+    SELECT model_name, count(*) AS n, count(*) FILTER (WHERE g0 = p0) AS exact_raw, count(*) FILTER (WHERE g1 = p1) AS exact_form, CAST(sum(a.dist) AS DOUBLE) / greatest(1, sum(length(g0))) AS cer_raw, CAST(sum(b.dist) AS DOUBLE) / greatest(1, sum(length(g1))) AS cer_form
+    FROM d JOIN l a ON a.t1 = g0 AND a.t2 = p0 JOIN l b ON b.t1 = g1 AND b.t2 = p1 GROUP BY model_name
+    """,
+)
 def p5_rescored(spark: SparkSession, sf: str) -> DataFrame:
     """Per model: exact matches and corpus CER before and after both texts are in one form."""
     t = table(spark, sf, "ocr_prediction").filter("ground_truth IS NOT NULL AND prediction IS NOT NULL")
