@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillflow.llm.leaks import leaks, without_spans
+from quillflow.llm.q_charforms import _form_sql
 from quillflow.plans.registry import Registry
 from quillflow.session import Workspace, table
 
@@ -16,7 +17,22 @@ def _leaks(spark: SparkSession, sf: str, with_spans: bool = False) -> DataFrame:
     return leaks(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_item"), "item_id", "text", with_spans=with_spans)
 
 
-@R.add("p7_found")
+def _letters(c: str) -> str:
+    return f"regexp_replace(lower({_form_sql(c)}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
+
+#: SQL's plainer way: the share of an item that lies in runs of 8 letters (20 of alphabets) which the document has anywhere. It knows neither
+#: passages nor their order, so it is a check on texts quoted in longer runs, as in the test tables, and no definition.
+_SHARES = f"""
+    WITH i AS (SELECT item_id, {_letters('text')} AS t FROM eval_item), k AS (SELECT item_id, t, CASE WHEN length(regexp_replace(t, '[\\x{{0}}-\\x{{10ff}}]', '', 'g')) * 2 >= length(t) THEN 8 ELSE 20 END AS w FROM i WHERE t <> ''),
+    g AS (SELECT item_id, w, p, substring(t, p, w) AS run FROM (SELECT *, unnest(range(1, length(t) - w + 2)) AS p FROM k)), n AS (SELECT DISTINCT w, run FROM g),
+    d AS (SELECT doc_id, {_letters('text')} AS t FROM documents WHERE text IS NOT NULL), r AS (SELECT DISTINCT doc_id, w, substring(t, p, w) AS run FROM (SELECT doc_id, t, w, unnest(range(1, length(t) - w + 2)) AS p FROM d, (VALUES (8), (20)) x(w))),
+    h AS (SELECT r.doc_id, r.w, r.run FROM r JOIN n USING (w, run)), c AS (SELECT DISTINCT item_id, doc_id, unnest(range(p, p + g.w)) AS at FROM g JOIN h USING (w, run)),
+    found AS (SELECT item_id, doc_id FROM c JOIN k USING (item_id) GROUP BY item_id, doc_id, t HAVING count(*) * 2 >= length(t))
+"""
+
+
+@R.add("p7_found", _SHARES + "SELECT item_id, doc_id FROM found")
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return _leaks(spark, sf).select("item_id", "doc_id")
 
