@@ -56,6 +56,10 @@ BOXES = f"""
 """
 
 
+#: The leaves that a row of boxes comes from.
+_OWN = S.BOX + r"\.(\$|id|data)$"
+
+
 def _text(c: str) -> str:
     return f"CASE WHEN json_type(e, '$.{c}') NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN e ->> '$.{c}' END"
 
@@ -91,7 +95,7 @@ def p4_pages(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("p4_boxes", BOXES + f"SELECT page_id, box_path, parent_path, depth, {_text('id')} AS id, {_text('data')} AS data FROM boxes")
 def p4_boxes(spark: SparkSession, sf: str) -> DataFrame:
     """Every box and its parent; what other fields hold is in p4_points and p4_leaves."""
-    return S.boxes(_entries(spark, sf, S.BOX)).drop("other")
+    return S.boxes(_entries(spark, sf, _OWN)).drop("other")
 
 
 @R.add("label_profile")
@@ -126,7 +130,7 @@ def p4_points(spark: SparkSession, sf: str) -> DataFrame:
 )
 def p4_page_boxes(spark: SparkSession, sf: str) -> DataFrame:
     """The typed pages alone, which SQL can follow without JSON."""
-    return S.boxes(_entries(spark, sf, S.BOX, raw=False)).select("page_id", "box_path", "id", "data")
+    return S.boxes(_entries(spark, sf, _OWN, raw=False)).select("page_id", "box_path", "id", "data")
 
 
 @R.add(
