@@ -95,7 +95,7 @@ def class_examples(spark: SparkSession, sf: str) -> DataFrame:
 
 _DISTANCES = f"""
     WITH t AS (SELECT pred_id, coalesce(ground_truth, '') AS g, coalesce(corrected_text, '') AS k, coalesce(prediction, '') AS t2 FROM strict_error_prediction),
-    u AS (SELECT DISTINCT g AS t1, t2 FROM t UNION SELECT DISTINCT k, t2 FROM t), l AS (SELECT t1, t2, CASE WHEN t1 = t2 THEN 0 WHEN t1 = '' OR t2 = '' THEN length(t1) + length(t2) ELSE {S.lev('t1', 't2')} END AS d FROM u)
+    u AS (SELECT DISTINCT g AS t1, t2 FROM t UNION SELECT DISTINCT k, t2 FROM t), l AS {S.distances('u')}
 """
 
 
@@ -129,7 +129,7 @@ def _spans(spark: SparkSession, sf: str) -> DataFrame:
     "error_flags",
     f"""
     WITH t AS (SELECT pred_id, {S.nopunct('ground_truth')} AS g, {S.nopunct('corrected_text')} AS k, {S.nopunct('prediction')} AS t2, {S.canon('ground_truth')} AS cg, {S.canon('prediction')} AS cp FROM strict_error_prediction WHERE ground_truth IS NOT NULL AND corrected_text IS NOT NULL),
-    c AS (SELECT * FROM t WHERE g <> k), u AS (SELECT DISTINCT g AS t1, t2 FROM c UNION SELECT DISTINCT k, t2 FROM c), l AS (SELECT t1, t2, CASE WHEN t1 = t2 THEN 0 WHEN t1 = '' OR t2 = '' THEN length(t1) + length(t2) ELSE {S.lev('t1', 't2')} END AS d FROM u)
+    c AS (SELECT * FROM t WHERE g <> k), u AS (SELECT DISTINCT g AS t1, t2 FROM c UNION SELECT DISTINCT k, t2 FROM c), l AS {S.distances('u')}
     SELECT pred_id, a.d AS distance_to_ground_truth, b.d AS distance_to_corrected, CAST(a.d AS DOUBLE) / greatest(1, length(g)) AS cer, c.t2 = k AS exact_corrected_match, c.t2 = g AND cp <> cg AS punctuation_only_difference
     FROM c JOIN l a ON a.t1 = g AND a.t2 = c.t2 JOIN l b ON b.t1 = k AND b.t2 = c.t2
     """,
