@@ -174,13 +174,46 @@ def _lines(spark: SparkSession, sf: str, preset: str) -> tuple[DataFrame, DataFr
     return b, Y.group_lines(b, preset)
 
 
+def _lines_sql(name: str, floor: float, centre: str, strict: bool) -> str:
+    """SQL's own way to lines: one box of every page after another, the lines so far as a list."""
+    fine = f"trim(regexp_replace(coalesce(e.data, ''), '{S.BLANK}+', ' ', 'g')) <> '' AND list_max(fx) > list_min(fx) AND list_max(fy) > list_min(fy)" if strict else "true"
+    middle = f"list_aggregate(list_append(lines[i].ys, cy), '{centre}')"
+    return f"""
+    {name}_b AS (SELECT page, CAST(box AS INTEGER) AS box, e.id AS id, (list_min(fy) + list_max(fy)) / 2 AS cy, (list_min(fx) + list_max(fx)) / 2 AS cx, list_min(fx) AS x0, list_max(fy) - list_min(fy) AS tall FROM f WHERE e IS NOT NULL AND len(fx) >= 2 AND len(fy) >= 2 AND {fine}),
+    {name}_o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY cy, cx, box) AS k, greatest({floor}, 0.6 * median(tall) OVER (PARTITION BY page)) AS tol FROM {name}_b),
+    {name}_s(page, k, lines) AS (SELECT page, k, [{{'c': CAST(cy AS DOUBLE), 'ys': [CAST(cy AS DOUBLE)], 'bs': [box]}}] FROM {name}_o WHERE k = 1
+      UNION ALL SELECT page, k, CASE WHEN least_ > tol THEN list_append(lines, {{'c': cy, 'ys': [cy], 'bs': [box]}})
+        ELSE list_transform(range(1, len(lines) + 1), lambda j: CASE WHEN j = i THEN {{'c': {middle}, 'ys': list_append(lines[i].ys, cy), 'bs': list_append(lines[i].bs, box)}} ELSE lines[j] END) END
+      FROM (SELECT *, list_position(far, list_min(far)) AS i, list_min(far) AS least_ FROM (SELECT o.page, o.k, o.cy, o.box, o.tol, s.lines, list_transform(s.lines, lambda l: abs(l.c - o.cy)) AS far FROM {name}_s s JOIN {name}_o o ON o.page = s.page AND o.k = s.k + 1))),
+    {name}_l AS (SELECT page, n, CAST(row_number() OVER (PARTITION BY page ORDER BY l.c, n) - 1 AS INTEGER) AS line, l.bs AS bs FROM (SELECT page, unnest(lines) AS l, unnest(range(len(lines))) AS n FROM (SELECT page, arg_max(lines, k) AS lines FROM {name}_s GROUP BY page)))"""
+
+
+_BUILD, _ANALYSIS = _lines_sql("build", 8.0, "median", True), _lines_sql("analysis", 10.0, "avg", False)
+
+
+@R.add(
+    "line_places",
+    _BOX_SQL.replace("WITH b", "WITH RECURSIVE b", 1)
+    + f""", {_BUILD}, u AS (SELECT page, line, unnest(bs) AS box FROM build_l)
+    SELECT u.page, u.box, u.line, CAST(row_number() OVER (PARTITION BY u.page, u.line ORDER BY o.x0, coalesce(CAST(o.id AS VARCHAR), 'None'), o.k) - 1 AS INTEGER) AS place FROM u JOIN build_o o ON o.page = u.page AND o.box = u.box""",
+)
+def line_places(spark: SparkSession, sf: str) -> DataFrame:
+    """The line of each box and its place in it."""
+    return _lines(spark, sf, "build")[1]
+
+
 @R.add("lines_rebuilt")
 def lines_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
     b, lines = _lines(spark, sf, "build")
     return Y.line_records(b, lines)
 
 
-@R.add("lines_compared")
+@R.add(
+    "lines_compared",
+    _BOX_SQL.replace("WITH b", "WITH RECURSIVE b", 1)
+    + f""", {_BUILD}, {_ANALYSIS}, x AS (SELECT page, count(*) AS build FROM build_l GROUP BY page), y AS (SELECT page, count(*) AS analysis FROM analysis_l GROUP BY page)
+    SELECT page, CAST(build AS INTEGER) AS build, CAST(analysis AS INTEGER) AS analysis FROM x FULL JOIN y USING (page)""",
+)
 def lines_compared(spark: SparkSession, sf: str) -> DataFrame:
     """Lines per page by either way of grouping."""
     n = lambda p: _lines(spark, sf, p)[1].groupBy("page").agg((F.max("line") + 1).alias(p))
