@@ -305,13 +305,33 @@ def pending_rows(spark: SparkSession, sf: str) -> DataFrame:
     return J.pending(table(spark, sf, "benchmark_manifest").select("row_id", "id"), table(spark, sf, "ocr_prediction"), "id")
 
 
-@R.add("greedy_round_robin")
+@R.add(
+    "greedy_round_robin",
+    """
+    WITH RECURSIVE d AS (SELECT line_id AS id, ground_truth AS t, coalesce(identifier, '?') AS s, CAST(coalesce(sentence_score, 0) AS DOUBLE) AS v, sha256('42:aihub:' || ground_truth || ':' || line_id) AS h FROM line_record WHERE ground_truth <> ''),
+    g AS (SELECT t, list({'id': id, 's': s, 'v': v} ORDER BY v DESC, h, id) AS c FROM d GROUP BY t), r AS (SELECT t, c, unnest(range(least(8, len(c)))) AS r FROM g),
+    o AS (SELECT c, r, row_number() OVER (ORDER BY r, -c[r + 1].v, sha256('42:gt-round:' || r || ':' || t)) AS k FROM r),
+    p(k, id, r, taken, used) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS VARCHAR[])
+      UNION ALL SELECT k, z.id, r, CASE WHEN z IS NULL THEN taken ELSE list_append(taken, z.id) END, CASE WHEN z IS NULL THEN used ELSE list_append(used, z.s) END
+      FROM (SELECT o.k, o.r, taken, used, list_filter(o.c, lambda z: NOT list_contains(taken, z.id) AND len(list_filter(used, lambda u: u = z.s)) < 6)[1] AS z FROM p JOIN o ON o.k = p.k + 1 WHERE len(taken) < 2000))
+    SELECT id, CAST(r AS INTEGER) AS round FROM p WHERE id IS NOT NULL
+    """,
+)
 def greedy_round_robin(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "line_record").filter("ground_truth IS NOT NULL AND ground_truth <> ''").select("line_id", "ground_truth", F.coalesce("identifier", F.lit("?")).alias("source"), F.coalesce("sentence_score", F.lit(0)).alias("score"))
     return Q.greedy_round_robin(d, "line_id", "ground_truth", "source", "score", 2000, 6, namespace="aihub", strict=False)
 
 
-@R.add("greedy_unique")
+@R.add(
+    "greedy_unique",
+    """
+    WITH RECURSIVE d AS (SELECT identifier AS s, ground_truth AS t, min(line_id) AS id FROM line_record WHERE ground_truth <> '' AND identifier IS NOT NULL GROUP BY ALL), f AS (SELECT t, count(*) AS n FROM d GROUP BY t),
+    g AS (SELECT s, count(*) AS n, list({'t': t, 'id': id} ORDER BY f.n, -length(t), t, id) AS c FROM d JOIN f USING (t) GROUP BY s), o AS (SELECT s, c, row_number() OVER (ORDER BY n, s) AS k FROM g),
+    p(k, s, id, used) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST([] AS VARCHAR[])
+      UNION ALL SELECT k, s, z.id, CASE WHEN z IS NULL THEN used ELSE list_append(used, z.t) END FROM (SELECT o.k, o.s, used, list_filter(o.c, lambda z: NOT list_contains(used, z.t))[1] AS z FROM p JOIN o ON o.k = p.k + 1))
+    SELECT s AS source, id FROM p WHERE id IS NOT NULL
+    """,
+)
 def greedy_unique(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "line_record").filter("ground_truth IS NOT NULL AND ground_truth <> '' AND identifier IS NOT NULL").select("line_id", "ground_truth", "identifier")
     return Q.greedy_unique(d, "line_id", "identifier", "ground_truth")
