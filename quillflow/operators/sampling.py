@@ -167,7 +167,7 @@ def select_training(df: DataFrame, c: str, source: str, text: str, place: str, n
     has nor another source took; then, where that is not enough, sources left over in the order of their rarest text give its row
     (rarest, then unused, then first in ``place``). Fails if there are fewer than n, if ``strict``. Rows without source or text take no part.
     """
-    d = df.select(F.col(c).alias("id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"), F.col(place).alias("place")).filter("source IS NOT NULL AND text IS NOT NULL")
+    d = df.select(F.col(c).alias("id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"), F.coalesce(F.col(place).cast("long"), F.lit((1 << 62))).alias("place")).filter("source IS NOT NULL AND text IS NOT NULL")
     taken = used_texts.select(F.col(used).alias("text")).filter("text IS NOT NULL").distinct().withColumn("taken", F.lit(True))
     n_text = d.groupBy("text").agg(F.count("*").alias("frequency"))
     d = d.join(n_text, "text").join(taken, "text", "left").withColumn("key", stable_key(namespace, "id"))

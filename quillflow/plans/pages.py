@@ -275,7 +275,22 @@ def preview_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return W.first_k(table(spark, sf, "line_record"), ["category"], order, 10).select("category", "rank", "line_id")
 
 
-@R.add("preview_mixed")
+_QUOTAS = "SELECT g, 100 // count(*) OVER () + CASE WHEN row_number() OVER (ORDER BY g) <= 100 % count(*) OVER () THEN 1 ELSE 0 END AS quota FROM (SELECT DISTINCT category AS g FROM d)"
+
+
+@R.add(
+    "preview_mixed",
+    f"""
+    WITH RECURSIVE d AS (SELECT * FROM line_record WHERE bbox_count >= 3 AND length({S.bare('ground_truth')}) >= 10 AND hangul_ratio >= 0.6 AND digit_ratio <= 0.2 AND category IS NOT NULL), q AS ({_QUOTAS}),
+    a AS (SELECT category AS g, line_id AS id, identifier AS s, 0 AS how, row_number() OVER (ORDER BY CASE WHEN recommended_sentence_candidate THEN 0 ELSE 1 END, CASE WHEN automatic_sentence_candidate THEN 0 ELSE 1 END, sentence_score DESC NULLS LAST, bbox_count DESC, identifier, line_index NULLS FIRST, line_id) AS place FROM d WHERE identifier IS NOT NULL
+      UNION ALL SELECT category, line_id, identifier, 1, row_number() OVER (ORDER BY {S.key('preview', 'line_id')}, line_id) FROM d WHERE identifier IS NOT NULL),
+    o AS (SELECT *, CASE how WHEN 0 THEN quota // 2 ELSE quota END AS most, row_number() OVER (ORDER BY g, how, place) AS k FROM a JOIN q USING (g)),
+    p(k, id, g, how, taken, used, cats) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER), false, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])
+      UNION ALL SELECT k, id, g, how, ok, CASE WHEN ok THEN list_append(used, s) ELSE used END, CASE WHEN ok THEN list_append(cats, g) ELSE cats END
+      FROM (SELECT o.k, o.id, o.g, o.how, o.s, used, cats, NOT list_contains(used, o.s) AND len(list_filter(cats, lambda c: c = o.g)) < most AS ok FROM p JOIN o ON o.k = p.k + 1))
+    SELECT id, g AS category, CASE how WHEN 0 THEN 'rank' ELSE 'random' END AS chosen_by FROM p WHERE taken
+    """,
+)
 def preview_mixed(spark: SparkSession, sf: str) -> DataFrame:
     """Structural lines for a preview: half by rank, half by hash order, every page at most once."""
     d = table(spark, sf, "line_record")
@@ -286,13 +301,35 @@ def preview_mixed(spark: SparkSession, sf: str) -> DataFrame:
     return Q.ranked_and_random(d, "line_id", "category", "identifier", rank, Q.even_quota(names, 100) if names else {}, "preview", strict=False)
 
 
-@R.add("training_pick")
+@R.add(
+    "training_pick",
+    f"""
+    WITH RECURSIVE d AS (SELECT line_id AS id, identifier AS s, ground_truth AS t, line_index AS i, {S.key('training', 'line_id')} AS h FROM line_record WHERE identifier IS NOT NULL AND ground_truth IS NOT NULL), f AS (SELECT t, count(*) AS n FROM d GROUP BY t),
+    g AS (SELECT s, list({{'id': id, 't': t}} ORDER BY h, id) AS c, list({{'id': id, 't': t, 'n': n, 'i': i, 'h': h}}) AS all_, min(n) AS rare FROM d JOIN f USING (t) GROUP BY s), o AS (SELECT *, row_number() OVER (ORDER BY {S.key('training:source', 's')}) AS k FROM g),
+    p(k, s, id, used) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), (SELECT list(DISTINCT ground_truth) FROM benchmark_manifest WHERE ground_truth IS NOT NULL)
+      UNION ALL SELECT k, s, z.id, CASE WHEN z IS NULL THEN used ELSE list_append(used, z.t) END FROM (SELECT o.k, o.s, used, list_filter(o.c, lambda z: NOT list_contains(used, z.t))[1] AS z FROM p JOIN o ON o.k = p.k + 1)),
+    w AS (SELECT o.s, all_, row_number() OVER (ORDER BY rare, {S.key('training:fallback', 'o.s')}) AS k FROM o JOIN p ON p.s = o.s WHERE p.id IS NULL),
+    v(k, id, used) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), (SELECT arg_max(used, k) FROM p)
+      UNION ALL SELECT k, z.id, list_append(used, z.t) FROM (SELECT w.k, used, list_sort(list_transform(w.all_, lambda x: {{'n': x.n, 'u': list_contains(used, x.t), 'i': x.i, 'h': x.h, 'id': x.id, 't': x.t}}))[1] AS z FROM v JOIN w ON w.k = v.k + 1))
+    SELECT id, false AS fallback FROM p WHERE id IS NOT NULL UNION ALL SELECT id, true FROM v WHERE id IS NOT NULL
+    """,
+)
 def training_pick(spark: SparkSession, sf: str) -> DataFrame:
     """Lines for training, one a page, of texts the benchmark does not have as long as there are such."""
     return Q.select_training(table(spark, sf, "line_record"), "line_id", "identifier", "ground_truth", "line_index", 300, table(spark, sf, "benchmark_manifest"), "ground_truth", "training", strict=False)
 
 
-@R.add("category_pick")
+@R.add(
+    "category_pick",
+    f"""
+    WITH RECURSIVE d AS (SELECT line_id AS id, category, identifier AS s, ground_truth AS t, {S.key('crops', 'line_id')} AS h FROM line_record WHERE category IS NOT NULL), q AS ({_QUOTAS}),
+    c AS (SELECT category AS g, s, list({{'id': id, 't': t}} ORDER BY h, id) AS c FROM d WHERE s IS NOT NULL AND t IS NOT NULL GROUP BY ALL), o AS (SELECT *, row_number() OVER (ORDER BY g, sha256('crops:' || g || ':' || s)) AS k FROM c JOIN q USING (g)),
+    p(k, g, id, sources, texts, cats) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])
+      UNION ALL SELECT k, g, z.id, CASE WHEN z IS NULL THEN sources ELSE list_append(sources, s) END, CASE WHEN z IS NULL THEN texts ELSE list_append(texts, z.t) END, CASE WHEN z IS NULL THEN cats ELSE list_append(cats, g) END
+      FROM (SELECT o.k, o.g, o.s, sources, texts, cats, CASE WHEN NOT list_contains(sources, o.s) AND len(list_filter(cats, lambda x: x = o.g)) < quota THEN list_filter(o.c, lambda z: NOT list_contains(texts, z.t))[1] END AS z FROM p JOIN o ON o.k = p.k + 1))
+    SELECT id, g AS category FROM p WHERE id IS NOT NULL
+    """,
+)
 def category_pick(spark: SparkSession, sf: str) -> DataFrame:
     """An even number of lines of each category; no page and no text twice."""
     d = table(spark, sf, "line_record").filter("category IS NOT NULL")
