@@ -124,3 +124,14 @@ def compare_to(df: DataFrame, name: str, base: str, columns: Sequence[str]) -> D
 def flatten_metrics(df: DataFrame, name: str, groups: dict[str, dict[str, str]]) -> DataFrame:
     """Nested metric structs as flat columns: {struct: {field: flat name}}."""
     return df.select(name, *(F.col(f"{g}.{f}").alias(flat) for g, fields in groups.items() for f, flat in fields.items()))
+
+
+def first_seen(df: DataFrame, value: str | Column, order: str) -> DataFrame:
+    """(value, first): different values with the place each is seen first; in that order they are the values without repeats."""
+    return df.select(_c(value).alias("value"), F.col(order).alias("first")).filter("value IS NOT NULL").groupBy("value").agg(F.min("first").alias("first"))
+
+
+def merged(a: str | Column, b: str | Column, add: bool = False) -> Column:
+    """Two maps as one: of a key in both the second's value, or with ``add`` the sum; null counts as an empty map."""
+    none = lambda x: F.coalesce(_c(x), F.create_map().cast("map<string,bigint>"))
+    return F.map_zip_with(none(a), none(b), lambda k, x, y: (F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))) if add else F.coalesce(y, x))

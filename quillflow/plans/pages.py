@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillflow.functions import labels as B
 from quillflow.functions import text as X
+from quillflow.operators import checks as K
 from quillflow.operators import layout as Y
 from quillflow.operators import matching as J
 from quillflow.operators import rules as U
@@ -381,3 +383,40 @@ def quality_score(spark: SparkSession, sf: str) -> DataFrame:
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     q = 10 * F.when(F.col("automatic_sentence_candidate"), 1).otherwise(0) + 3 * F.least(z("bbox_count"), F.lit(8)) + 2 * F.least(z("predicate_ending_count"), F.lit(2)) + F.least(z("grammatical_ending_count"), F.lit(4)) + z("sentence_score")
     return table(spark, sf, "line_record").select("line_id", q.alias("quality"))
+
+
+@R.add(
+    "repetition_rounds",
+    f"SELECT line_id, CAST(round AS INTEGER) AS round FROM (SELECT line_id, row_number() OVER (PARTITION BY ground_truth ORDER BY coalesce(sentence_score, 0) DESC, {S.key('42', 'line_id')}) AS round FROM line_record WHERE ground_truth IS NOT NULL) WHERE round <= 8",
+)
+def repetition_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The how-manieth use of its text each line would be, up to the eighth, which is the most that a pick allows."""
+    d = table(spark, sf, "line_record").filter("ground_truth IS NOT NULL").select("line_id", "ground_truth", F.coalesce("sentence_score", F.lit(0)).alias("score"))
+    return d.withColumn("round", W.repetition_round("ground_truth", "score", Q.stable_key("42", "line_id"))).filter("round <= 8").select("line_id", "round")
+
+
+@R.add("texts_in_order", "SELECT ground_truth AS value, min(line_id) AS first FROM line_record WHERE ground_truth IS NOT NULL GROUP BY ground_truth")
+def texts_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Different texts by where each is seen first."""
+    return A.first_seen(table(spark, sf, "line_record"), "ground_truth", "line_id")
+
+
+@R.add(
+    "same_lines",
+    "WITH a AS (SELECT identifier, line_index, ground_truth FROM line_record), b AS (SELECT identifier, line_index, ground_truth FROM line_record WHERE bbox_count >= 2) SELECT 'same_rows' AS \"check\", count(*) AS failures FROM ((SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT ALL SELECT * FROM a))",
+)
+def same_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """How many lines, with their repeats, only one of two sets has."""
+    d = table(spark, sf, "line_record")
+    rows = lambda x: x.select("identifier", "line_index", "ground_truth")
+    return K.same_rows(rows(d), rows(d.filter("bbox_count >= 2")))
+
+
+@R.add(
+    "displayed",
+    "SELECT page_id, coalesce(images.identifier, '<MISSING>') AS identifier, coalesce(CAST(images.width AS VARCHAR), '<MISSING>') AS width, coalesce(CAST(len(bbox) AS VARCHAR), '<MISSING>') AS n_boxes FROM label_page",
+)
+def displayed(spark: SparkSession, sf: str) -> DataFrame:
+    """Values as a report shows them."""
+    n = F.when(F.col("bbox").isNotNull(), F.size("bbox"))
+    return table(spark, sf, "label_page").select("page_id", B.display_value("images.identifier").alias("identifier"), B.display_value("images.width").alias("width"), B.display_value(n).alias("n_boxes"))

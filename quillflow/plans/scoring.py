@@ -13,6 +13,7 @@ from quillflow.operators import windows as W
 from quillflow.plans import sqltext as S
 from quillflow.plans.registry import Registry
 from quillflow.session import table
+from quillflow.streaming.scoring import score as scored
 
 R = Registry()
 CLASSES = ["error_preserved", "over_corrected", "recognition_error"]
@@ -253,3 +254,58 @@ def error_histogram(spark: SparkSession, sf: str) -> DataFrame:
 def timing(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "ocr_prediction")
     return t.groupBy("model_name").agg(F.count("inference_time").alias("n"), F.min("inference_time").alias("least"), F.median("inference_time").alias("median"), F.max("inference_time").alias("most"))
+
+
+@R.add(
+    "ocr_scores",
+    f"""
+    WITH a AS (SELECT pred_id, coalesce(ground_truth, '') AS t1, coalesce(prediction, '') AS t2, coalesce(ground_truth = prediction, false) AS exact_match FROM ocr_prediction), u AS (SELECT DISTINCT t1, t2 FROM a), l AS {S.distances('u')}
+    SELECT pred_id, d AS distance, CAST(d AS DOUBLE) / greatest(1, length(t1)) AS cer, exact_match FROM a JOIN l USING (t1, t2)
+    """,
+)
+def ocr_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Distance, CER and match of every answer, by the scorer of the stream."""
+    return scored(table(spark, sf, "ocr_prediction").select("pred_id", "ground_truth", "prediction")).select("pred_id", "distance", "cer", "exact_match")
+
+
+@R.add(
+    "aligned_places",
+    """
+    WITH m AS (SELECT id, row_number() OVER (ORDER BY id) AS place FROM benchmark_manifest), r AS (SELECT id AS other, row_number() OVER (ORDER BY id) AS place FROM (SELECT DISTINCT id FROM ocr_prediction WHERE id IS NOT NULL))
+    SELECT place, id, other, id IS NOT DISTINCT FROM other AS same FROM m FULL JOIN r USING (place)
+    """,
+)
+def aligned_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Manifest and results side by side, place by place."""
+    place = lambda x: W.numbered(x, ["id"], "place", 12).withColumn("place", F.col("place").cast("long"))
+    return J.aligned(place(table(spark, sf, "benchmark_manifest").select("id")), place(table(spark, sf, "ocr_prediction").select("id").filter("id IS NOT NULL").distinct()), "place", "id")
+
+
+@R.add(
+    "model_deltas",
+    f"""
+    WITH d AS ({_STRICT_SQL}), g AS (SELECT model_name, count(*) FILTER (WHERE class = 'over_corrected') / CAST(count(*) AS DOUBLE) AS oc, count(*) FILTER (WHERE class = 'error_preserved') / CAST(count(*) AS DOUBLE) AS ep FROM d WHERE model_name IS NOT NULL GROUP BY model_name)
+    SELECT g.model_name, g.oc - b.oc AS over_corrected_rate_delta, g.ep - b.ep AS error_preserved_rate_delta FROM g, (SELECT * FROM g ORDER BY model_name LIMIT 1) b
+    """,
+)
+def model_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    """Each model's rates less those of the first by name."""
+    g = A.class_summary(_strict(spark, sf).filter("model_name IS NOT NULL"), ["model_name"], CLASSES, "class")
+    first = g.agg(F.min("model_name")).first()[0]
+    return A.compare_to(g, "model_name", first, ["over_corrected_rate", "error_preserved_rate"])
+
+
+@R.add(
+    "merged_counts",
+    f"""
+    WITH d AS ({_STRICT_SQL}), a AS (SELECT coalesce(model_name, '<MISSING>') AS k, count(*) AS n FROM d GROUP BY 1), b AS (SELECT coalesce(model_name, '<MISSING>') AS k, count(*) AS n FROM ocr_prediction GROUP BY 1)
+    SELECT k AS model_name, CAST(coalesce(a.n, 0) + coalesce(b.n, 0) AS BIGINT) AS added, coalesce(b.n, a.n) AS last FROM a FULL JOIN b USING (k)
+    """,
+)
+def merged_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers per model of both tables, merged as counters and as maps in which the second wins."""
+    counts = lambda t: table(spark, sf, t).groupBy(F.coalesce("model_name", F.lit("<MISSING>")).alias("k")).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias(t))
+    a, b = "strict_error_prediction", "ocr_prediction"
+    one = counts(a).join(F.broadcast(counts(b)))  # a row each
+    one = one.select(A.merged(a, b, add=True).alias("added"), A.merged(a, b).alias("last"))
+    return one.select(F.explode("added").alias("model_name", "added"), "last").select("model_name", "added", F.col("last")[F.col("model_name")].alias("last"))
