@@ -155,9 +155,9 @@ def _table(keys: DataFrame) -> Broadcast:
     """Which of the ``BITS`` places have a segment: at most BITS / 64 numbers reach the driver."""
     spark = keys.sparkSession
     at = F.col("key").bitwiseAND(F.lit(BITS - 1))
-    words = keys.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("b")).toPandas()
+    words = keys.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("b")).toArrow()
     full = np.zeros(BITS // 64, dtype=np.int64)
-    full[words["w"]] = words["b"]
+    full[words["w"].to_numpy()] = words["b"].to_numpy()
     return spark.sparkContext.broadcast(full.view(np.uint8))
 
 

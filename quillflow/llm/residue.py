@@ -249,7 +249,7 @@ def _learn(table: DataFrame, m: Model | None) -> tuple[Model, float]:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.concatenate((pos[some], mass))), pa.array(np.concatenate((neg[some], np.zeros(len(mass)))))], ["bucket", "pos", "neg"])
 
     got = table.select("passages").mapInArrow(run, "bucket int, pos double, neg double").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    rows = got.toPandas()  # at most BUCKETS + SLOTS + 6 rows
+    rows = got.toArrow()  # at most BUCKETS + SLOTS + 6 rows
     old.unpersist()
     pos, neg, mass = np.zeros(BUCKETS + SLOTS), np.zeros(BUCKETS + SLOTS), np.zeros(6)
     k, p, n = rows["bucket"].to_numpy(), rows["pos"].to_numpy(), rows["neg"].to_numpy()
