@@ -319,6 +319,7 @@ def pending_rows(spark: SparkSession, sf: str) -> DataFrame:
 )
 def greedy_round_robin(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "line_record").filter("ground_truth IS NOT NULL AND ground_truth <> ''").select("line_id", "ground_truth", F.coalesce("identifier", F.lit("?")).alias("source"), F.coalesce("sentence_score", F.lit(0)).alias("score"))
+    # Fixed value: the digests' name for real lines.
     return Q.greedy_round_robin(d, "line_id", "ground_truth", "source", "score", 2000, 6, namespace="aihub", strict=False)
 
 
